@@ -6,7 +6,7 @@ from importlib import import_module
 
 from narracode.catalog.registry import ORACLES, QUERIES, Query
 
-MODULES = ["sources", "labels", "metrics", "losses", "windows", "scalars", "answers"]
+MODULES = ["sources", "labels", "metrics", "losses", "windows", "scalars", "answers", "features", "models"]
 
 
 def _load() -> None:
