@@ -13,6 +13,7 @@ from narracode.operators import ordering as O
 from narracode.operators.answers import first_examples
 from narracode.operators.features import term_totals, top_terms, word_terms
 from narracode.operators.folds import batch_ids, global_rank, hash_key, kfold, stratified_kfold
+from narracode.session import write_table
 
 
 @query(
@@ -73,7 +74,8 @@ def first_examples_query(spark, sf):
     t.with_tables("SELECT term, df, tf FROM totals ORDER BY tf DESC, term LIMIT 300", "docs", extra={k: VOCAB_SQL[k] for k in ("terms", "totals")}),
 )
 def top_terms_query(spark, sf):
-    return top_terms(term_totals(word_terms(t.docs(spark, sf), 1, 1)), 300)
+    totals = write_table(term_totals(word_terms(t.docs(spark, sf), 1, 1)), "term_totals")
+    return top_terms(totals, 300)
 
 
 @query(

@@ -10,50 +10,51 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narracode.functions.numeric import let
 from narracode.functions.text import word_tokens
-from narracode.session import BROADCAST_ROWS
+from narracode.session import BROADCAST_ROWS, write_table
 
 
-def _ngrams(tokens: Column, low: int, high: int) -> Column:
-    """Runs of ``low`` to ``high`` neighbouring tokens joined by a blank."""
-
-    def of_length(t: Column, n: int) -> Column:
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)]))
-
-    return let(tokens, lambda t: F.concat(*[t if n == 1 else of_length(t, n) for n in range(low, high + 1)]))
+def by_record(docs: DataFrame) -> DataFrame:
+    """The texts, hash-partitioned by record. The partition count is given, as rows grow by a
+    large factor behind this exchange and partitions must not be merged by their text size."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("uid", "text").repartition(parts, "uid")
 
 
 def word_terms(docs: DataFrame, low: int = 1, high: int = 3, stop_words: list[str] | None = None) -> DataFrame:
-    """``uid, term, tf`` of word n-grams; stop words leave before the n-grams are formed."""
+    """``uid, term, tf`` of word n-grams: runs of ``low`` to ``high`` neighbouring tokens
+    joined by a blank. Stop words leave before the runs are formed."""
     tokens = word_tokens(F.col("text"))
     if stop_words:
-        tokens = F.filter(tokens, lambda t: ~t.isin(stop_words))
-    by_record = docs.select("uid", "text").repartition("uid")
-    terms = by_record.select("uid", F.explode(_ngrams(tokens, low, high)).alias("term"))
+        tokens = F.filter(tokens, lambda w: ~w.isin(stop_words))
+    listed = by_record(docs).select("uid", tokens.alias("_t"))
+    # no filter on empty lists: it would move below the exchange and tokenise twice
+    starts = F.when(F.size("_t") > 0, F.sequence(F.lit(0), F.size("_t") - 1))
+    at = listed.select("uid", "_t", F.explode(starts).alias("_i"))
+    runs = [
+        F.when(F.col("_i") + n <= F.size("_t"), F.concat_ws(" ", *[F.get("_t", F.col("_i") + k) for k in range(n)]))
+        for n in range(low, high + 1)
+    ]
+    terms = at.select("uid", F.explode(F.array(*runs)).alias("term")).filter(F.col("term").isNotNull())
     return terms.groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def char_terms(docs: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
     """``uid, term, tf`` of character n-grams inside blank-padded words; a padded word no
-    longer than n is taken once as it is. Words are counted before they are expanded."""
-    by_record = docs.select("uid", "text").repartition("uid")
-    words = by_record.select("uid", F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("word"))
+    longer than n is taken once as it is. Words are counted before they are expanded, and the
+    expansion is two generators and a substring, which stay in generated code."""
+    words = by_record(docs).select("uid", F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("word"))
     counted = words.filter(F.col("word") != "").groupBy("uid", "word").agg(F.count(F.lit(1)).alias("_n"))
-    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     size = F.length("word") + 2
-    longest = F.greatest(F.lit(low), F.least(F.lit(high), size))
-    grams = F.transform(
-        F.sequence(F.lit(low), longest),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: F.substring(padded, i, n)
-        ),
-    )
-    terms = counted.select("uid", "_n", F.explode(F.flatten(grams)).alias("term"))
+    lengths = F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(F.lit(high), size)))
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    per_length = counted.select("uid", "_n", padded.alias("_p"), size.alias("_s"), F.explode(lengths).alias("_k"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_s") - F.col("_k") + 1))
+    per_start = per_length.select("uid", "_n", "_p", "_k", F.explode(starts).alias("_i"))
+    terms = per_start.select("uid", "_n", F.substring("_p", F.col("_i"), F.col("_k")).alias("term"))
     return terms.groupBy("uid", "term").agg(F.sum("_n").alias("tf"))
 
 
@@ -85,20 +86,26 @@ def fit_vocab(
     """``term, term_id, df, idf``: document-frequency limits, the most frequent terms, ids in
     term order, idf ``ln((1 + n) / (1 + df)) + 1``.
 
-    ``n_records`` is the number of records or a one-row table with it.
+    ``n_records`` is the number of records or a one-row table with it. The term totals are
+    written once, since the limits and the ids read them more than once and the n-grams behind
+    them are the expensive part.
     """
     n = n_records.scalar() if isinstance(n_records, DataFrame) else F.lit(n_records)
-    kept = term_totals(terms).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
+    totals = write_table(term_totals(terms), "term_totals")
+    kept = totals.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     if max_features is not None:
         kept = top_terms(kept, max_features)
-    return number_terms(kept).select(
+    small = max_features is not None and max_features <= BROADCAST_ROWS
+    return number_terms(kept, small).select(
         "term", "term_id", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")
     )
 
 
-def number_terms(totals: DataFrame) -> DataFrame:
-    """Dense ids in term order, counted within first-two-character ranges and shifted by the
-    size of the ranges before."""
+def number_terms(totals: DataFrame, small: bool = False) -> DataFrame:
+    """Dense ids in term order. A vocabulary of any size is counted within first-two-character
+    ranges and shifted by the size of the ranges before; a limited one is counted at once."""
+    if small:
+        return totals.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
     keyed = totals.withColumn("_first", F.substring("term", 1, 2))
     sizes = keyed.groupBy("_first").agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.select("_first", (F.sum("_size").over(Window.orderBy("_first")) - F.col("_size")).alias("_start"))
