@@ -134,16 +134,18 @@ def eval_columns() -> list[Column]:
 
 
 def coded(spark: SparkSession, sf: str) -> DataFrame:
-    """All 23 labels for every document."""
-    uid = F.col("doc_id").cast("string")
-
-    def word(label: str) -> Column:
-        return hex_word(F.concat(F.lit(f"{label}:"), uid))
-
-    return table(spark, sf, "documents").select(
-        uid.alias("uid"),
-        *[(word(c) % 4 == 0).cast("int").alias(c) for c in CODING_SPEC.binary],
-        *[(word(c) % n + 1).cast("int").alias(c) for c, n in CODING_SPEC.categorical.items()],
+    """All 23 labels for every document, each from two hex digits of one digest."""
+    keyed = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("uid"))
+    hashed = keyed.withColumn("_h", F.md5(F.concat(F.lit("coded:"), F.col("uid"))))
+
+    def digits(i: int) -> Column:
+        return F.conv(F.substring("_h", i + 1, 2), 16, 10).cast("int")
+
+    n_bin = len(CODING_SPEC.binary)
+    return hashed.select(
+        "uid",
+        *[(digits(i) % 4 == 0).cast("int").alias(c) for i, c in enumerate(CODING_SPEC.binary)],
+        *[(digits(n_bin + i) % n + 1).cast("int").alias(c) for i, (c, n) in enumerate(CODING_SPEC.categorical.items())],
     )
 
 
@@ -217,11 +219,15 @@ _unpivot = " UNION ALL ".join(
     f"SELECT uid, '{c}' AS label, '{'binary' if c in DOC_SPEC.binary else 'categorical'}' AS kind, {c} AS y FROM labels_wide"
     for c in DOC_SPEC.columns
 )
-_binary_codes = ", ".join(
-    "CAST(" + hex8(f"'{c}:' || uid") + f" % 4 = 0 AS INT) AS {c}" for c in CODING_SPEC.binary
-)
+
+
+def _digits(i: int) -> str:
+    return f"CAST(CAST('0x' || substr(h, {i + 1}, 2) AS UBIGINT) AS INT)"
+
+
+_binary_codes = ", ".join(f"CAST({_digits(i)} % 4 = 0 AS INT) AS {c}" for i, c in enumerate(CODING_SPEC.binary))
 _cat_codes = ", ".join(
-    "CAST(" + hex8(f"'{c}:' || uid") + f" % {n} + 1 AS INT) AS {c}" for c, n in CODING_SPEC.categorical.items()
+    f"{_digits(len(CODING_SPEC.binary) + i)} % {n} + 1 AS {c}" for i, (c, n) in enumerate(CODING_SPEC.categorical.items())
 )
 _score_key = "'m' || model || ':' || label || ':' || uid"
 _class_key = "'c' || model || ':' || label || ':' || class_idx || ':' || uid"
@@ -288,7 +294,7 @@ SQL: dict[str, tuple[list[str], str]] = {
         f"(event_id % 101) * {dbl(0.01)} AS thresh, "
         f"CAST(CAST(round(value * 100) AS BIGINT) % 101 AS DOUBLE) / 100 AS f1 FROM events",
     ),
-    "coded": ([], f"SELECT uid, {_binary_codes}, {_cat_codes} FROM (SELECT CAST(doc_id AS VARCHAR) AS uid FROM documents)"),
+    "coded": ([], f"SELECT uid, {_binary_codes}, {_cat_codes} FROM (SELECT CAST(doc_id AS VARCHAR) AS uid, md5('coded:' || doc_id) AS h FROM documents)"),
     "responses": (["coded"], _response_sql()),
 }
 

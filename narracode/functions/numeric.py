@@ -65,7 +65,13 @@ def hex_word(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hex_uniform(digest: Column, word: int) -> Column:
+    """A number in [0, 1) from the n-th 32-bit word (0..3) of a hex digest."""
+    bits = F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("double")
+    return bits / F.lit(4294967296.0)
+
+
 def hash_uniform(*parts: Column | str) -> Column:
     """A reproducible number in [0, 1) from the concatenation of ``parts``."""
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return hex_word(text).cast("double") / F.lit(4294967296.0)
+    return hex_uniform(F.md5(text), 0)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narracode.functions.numeric import hash_uniform
+from narracode.functions.numeric import hex_uniform
 from narracode.functions.text import words
+from narracode.session import BROADCAST_ROWS
 
 
 def stack_texts(records: DataFrame) -> DataFrame:
@@ -36,21 +37,18 @@ def mask_tokens(
     is ``term_id, term`` with ids ``0 .. vocab_size - 1``.
     """
     tokens = lines.select("line_id", F.posexplode(words(F.col("line"))).alias("_at", "target"))
-
-    def draw(tag: str):
-        return hash_uniform(f"{seed}|{tag}|", F.col("line_id"), "|", F.col("_at"))
-
-    chosen = draw("pick") < p
-    how = draw("how")
-    random_id = F.floor(draw("word") * vocab_size).cast("int")
-    drawn = tokens.withColumn(
-        "_how", F.when(chosen, F.when(how < 0.8, "mask").when(how < 0.9, "random").otherwise("keep"))
+    key = F.concat(F.lit(f"{seed}|"), F.col("line_id").cast("string"), F.lit("|"), F.col("_at").cast("string"))
+    keyed = tokens.withColumn("_digest", F.md5(key))
+    pick, how, word = [hex_uniform(F.col("_digest"), i) for i in range(3)]
+    random_id = F.floor(word * vocab_size).cast("int")
+    drawn = keyed.withColumn(
+        "_how", F.when(pick < p, F.when(how < 0.8, "mask").when(how < 0.9, "random").otherwise("keep"))
     )
     # most tokens need no word: their key is spread over negative ids that match nothing
     nobody = -1 - F.pmod(F.hash("line_id", "_at"), F.lit(4096))
     drawn = drawn.withColumn("_random_id", F.when(F.col("_how") == "random", random_id).otherwise(nobody))
     pool = vocab.select(F.col("term_id").alias("_random_id"), F.col("term").alias("_random"))
-    joined = drawn.join(F.broadcast(pool) if vocab_size <= 500_000 else pool, "_random_id", "left")
+    joined = drawn.join(F.broadcast(pool) if vocab_size <= BROADCAST_ROWS else pool, "_random_id", "left")
     token = (
         F.when(F.col("_how") == "mask", F.lit("[MASK]"))
         .when(F.col("_how") == "random", F.col("_random"))

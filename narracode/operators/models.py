@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from narracode.operators.features import char_terms, fit_vocab, tfidf, to_vector, word_terms
 from narracode.operators.folds import stratified_kfold
-from narracode.operators.labels import binarize
+from narracode.operators.labels import binarize, to_long
 from narracode.operators.metrics import f1_variable_average
 from narracode.operators.thresholds import threshold_search
 from narracode.session import write_table
@@ -152,6 +152,17 @@ class FitResult:
     scores: dict[str, float]
 
 
+def _with_folds(train: DataFrame, spec: LabelSpec, folds: int, seed: int) -> DataFrame:
+    """Training rows with one ``_fold_<label>`` column per label. All labels get their folds in
+    one pass over the narrow key and label columns, so the feature rows move once."""
+    long = to_long(train.select("uid", *[F.col(c).cast("int").alias(c) for c in spec.columns]), spec.columns)
+    ids = stratified_kfold(long, folds, seed)
+    wide = ids.groupBy("uid").agg(
+        *[F.max(F.when(F.col("label") == c, F.col("fold"))).alias(f"_fold_{c}") for c in spec.columns]
+    )
+    return train.join(wide, "uid")
+
+
 def fit_predict_all(
     train: DataFrame,
     test: DataFrame,
@@ -168,22 +179,18 @@ def fit_predict_all(
     score is one more feature of the later binary labels: out-of-fold for training rows, full
     fit for test rows.
     """
-    train = write_table(train, "train_features")
-    test = write_table(test, "test_features")
+    train = write_table(_with_folds(train, spec, folds, seed), "train_features")
+    test = write_table(test.select("uid", "features"), "test_features")
+    chained_train, chained_test = train, test
     models, thresholds, label_f1 = {}, {}, {}
     oof_parts, test_parts = [], []
-    chain_train = chain_test = None
     for label, kind, _, _ in spec.slot_ranges():
-        shift = 0 if kind == "binary" else 1
-        x_train = train.select("uid", "features", (F.col(label) - shift).alias("y"), F.lit(label).alias("label"))
-        x_test = test.select("uid", "features")
-        if chain_train is not None and kind == "binary":
-            x_train, x_test = chain_feature(x_train, chain_train), chain_feature(x_test, chain_test)
-        # the key and class columns alone decide the folds
-        fold_ids = stratified_kfold(x_train.select("uid", "label", "y"), folds, seed).select("uid", "fold")
-        x_train = x_train.join(fold_ids, "uid").persist()
+        binary = kind == "binary"
+        source, x_test = (chained_train, chained_test) if binary else (train, test)
+        y = F.col(label) - (0 if binary else 1)
+        x_train = source.select("uid", "features", y.alias("y"), F.col(f"_fold_{label}").alias("fold")).persist()
         oof = write_table(cross_val_predict(x_train, make_estimator(label, kind), kind, folds), "oof")
-        if kind == "binary":
+        if binary:
             found = threshold_search(oof, []).first()
             thresholds[label], label_f1[label] = found["thresh"], found["f1"]
             y_hat = binarize(F.col("score"), F.lit(found["thresh"]))
@@ -195,12 +202,15 @@ def fit_predict_all(
         model = fit(make_estimator(label, kind), x_train)
         models[label] = model
         test_scores = write_table(scores(model, x_test, kind).select("uid", "score"), "test_scores")
-        code = binarize(F.col("score"), F.lit(thresholds[label])) if kind == "binary" else (F.col("score") + 1).cast("int")
-        test_parts.append(test_scores.select("uid", code.alias(label)))
-        if label == chain_from:
-            chain_train, chain_test = oof.select("uid", "score"), test_scores
+        code = binarize(F.col("score"), F.lit(thresholds[label])) if binary else (F.col("score") + 1).cast("int")
+        test_parts.append(test_scores.select("uid", F.lit(label).alias("label"), code.alias("code")))
         x_train.unpersist()
-    submission = reduce(lambda a, b: a.join(b, "uid"), test_parts)
+        if label == chain_from:
+            chained_train = write_table(chain_feature(train, oof), "train_chained")
+            chained_test = write_table(chain_feature(test, test_scores), "test_chained")
+    submission = reduce(DataFrame.unionByName, test_parts).groupBy("uid").agg(
+        *[F.max(F.when(F.col("label") == c, F.col("code"))).alias(c) for c in spec.columns]
+    )
     return FitResult(models, thresholds, reduce(DataFrame.unionByName, oof_parts), submission, label_f1)
 
 
