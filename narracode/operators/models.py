@@ -6,9 +6,11 @@ and folds only, and receives thresholds and scores of a few rows.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
@@ -67,12 +69,20 @@ def scores(model, df: DataFrame, kind: str) -> DataFrame:
     return out.withColumn("score", value).select(*df.columns, "score")
 
 
-def cross_val_predict(df: DataFrame, estimator, kind: str, folds: int) -> DataFrame:
-    """Out-of-fold score of every row of ``uid, features, y, fold``."""
-    parts = []
-    for f in range(folds):
+def cross_val_predict(df: DataFrame, estimator, kind: str, folds: int, parallelism: int = 4) -> DataFrame:
+    """Out-of-fold score of every row of ``uid, features, y, fold``.
+
+    The fits of the folds are independent Spark jobs; up to ``parallelism`` are submitted at
+    the same time.
+    """
+
+    def one(f: int) -> DataFrame:
         model = fit(estimator, df.filter(F.col("fold") != f))
-        parts.append(scores(model, df.filter(F.col("fold") == f), kind))
+        return scores(model, df.filter(F.col("fold") == f), kind)
+
+    session = df.sparkSession
+    with ThreadPoolExecutor(min(parallelism, folds)) as pool:
+        parts = list(pool.map(inheritable_thread_target(session)(one), range(folds)))
     return reduce(DataFrame.unionByName, parts).select("uid", "fold", "y", "score")
 
 
