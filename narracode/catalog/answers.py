@@ -34,10 +34,9 @@ def filled(template: str, *values: str) -> str:
     return " || ".join(out)
 
 
-def examples_train(spark, sf):
-    """Narratives, decoded answers and position of all documents."""
-    decoded = A.decode_labels(t.coded(spark, sf))
-    return t.records(spark, sf).join(decoded, "uid").withColumn("pos", F.col("uid").cast("bigint"))
+def train_records(spark, sf):
+    """All documents with a position."""
+    return t.records(spark, sf).withColumn("pos", F.col("uid").cast("bigint"))
 
 
 _answer_of = {
@@ -57,7 +56,7 @@ _blocks = {
 
 @query("render_examples", t.with_tables("SELECT block FROM block", "records", "coded", extra=_blocks))
 def render_examples(spark, sf):
-    return A.render_examples(examples_train(spark, sf))
+    return A.render_examples(train_records(spark, sf), t.coded(spark, sf))
 
 
 @query(
@@ -71,7 +70,7 @@ def render_examples(spark, sf):
     ),
 )
 def render_prompt(spark, sf):
-    block = A.render_examples(examples_train(spark, sf))
+    block = A.render_examples(train_records(spark, sf), t.coded(spark, sf))
     prompts = A.render_prompt(t.records(spark, sf), block)
     return prompts.select("uid", F.md5("prompt").alias("prompt_md5"))
 
@@ -276,5 +275,4 @@ def answer_batches_query(spark, sf):
 def code_records_query(spark, sf):
     """Records to prompts, answers of the stand-in model, and codes."""
     records = t.records(spark, sf)
-    train = records.withColumn("pos", F.col("uid").cast("bigint"))
-    return code_records(records, train, t.coded(spark, sf), by_length)
+    return code_records(records, train_records(spark, sf), t.coded(spark, sf), by_length)

@@ -257,10 +257,10 @@ def ensemble_evaluation(spark, sf):
     thresholds = T.threshold_search(members, ["model", "label"])
     codes = E.ensemble_average(members, thresholds)
     truth = t.labels_long(spark, sf).filter(F.col("kind") == "binary").select("uid", "label", "y")
-    preds = codes.join(truth, ["uid", "label"])
-    counts = preds.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    f1 = M.f1_binary(preds).join(F.broadcast(counts), "label")
-    return rounded(f1.select("label", "f1", "n"), "f1")
+    counts = M.confusion(codes.join(truth, ["uid", "label"]))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    f1 = M.f1_of_counts(tp, tp + fp, tp + fn)
+    return rounded(counts.select("label", f1.alias("f1"), (tp + fp + fn + F.col("tn")).alias("n")), "f1")
 
 
 _eval_sql = {

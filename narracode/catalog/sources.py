@@ -13,7 +13,7 @@ from narracode.operators.features import fit_vocab, word_terms
 from narracode.operators.folds import kfold, stratified_kfold
 from narracode.operators.labels import fold_split
 from narracode.operators.thresholds import threshold_search
-from narracode.session import scratch_path
+from narracode.session import scratch_path, write_table
 from narracode.sources import readers, writers
 from narracode.spec import CODING_SPEC, NULL_TOKENS
 
@@ -198,7 +198,8 @@ VOCAB_SQL = {
 def word_vocab(spark, sf):
     docs = t.docs(spark, sf)
     n = docs.select(F.count(F.lit(1)).alias("n"))
-    return fit_vocab(word_terms(docs, 1, 1), n, min_df=5, max_df=0.6, max_features=500)
+    vocab = fit_vocab(word_terms(docs, 1, 1), n, min_df=5, max_df=0.6, max_features=500)
+    return write_table(vocab, "word_vocab")
 
 
 @query(

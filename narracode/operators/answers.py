@@ -74,22 +74,24 @@ def first_examples(train: DataFrame, pos: str, n: int = 3) -> DataFrame:
     return train.orderBy(pos).limit(n)
 
 
-def render_examples(train: DataFrame, pos: str = "pos", n: int = 3) -> DataFrame:
-    """One row ``block``: the first ``n`` coded records as example input and output.
+def render_examples(train: DataFrame, labels: DataFrame, pos: str = "pos", n: int = 3) -> DataFrame:
+    """One row ``block``: the first ``n`` training records as example input and output.
 
-    ``train`` has the narratives, decoded answers per label column, and a position.
+    ``train`` has the narratives and a position, ``labels`` the codes. The rows are picked
+    first; only their labels are looked up and decoded.
     """
-    cols = CODING_SPEC.columns
     picked = first_examples(train, pos, n)
+    # n keys
+    few = labels.join(F.broadcast(picked.select("uid")), "uid", "left_semi")
+    coded = picked.join(decode_labels(few), "uid", "left")
     answers = F.concat(
         *[
             F.concat(F.lit(f"Question {i}: {q}\nAnswer: "), F.coalesce(F.col(c), F.lit("nan")), F.lit("\n"))
-            for i, (q, c) in enumerate(zip(QUESTIONS, cols, strict=True), start=1)
+            for i, (q, c) in enumerate(zip(QUESTIONS, CODING_SPEC.columns, strict=True), start=1)
         ]
     )
     block = fill(EXAMPLE_BLOCK, F.col("narrative_le"), F.col("narrative_cme"), answers)
-    # n rows at most
-    listed = picked.agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), block.alias("text")))).alias("l"))
+    listed = coded.agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), block.alias("text")))).alias("l"))
     return listed.select(F.array_join(F.col("l.text"), "\n").alias("block"))
 
 

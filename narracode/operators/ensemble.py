@@ -35,7 +35,8 @@ def ensemble_average(
     joined = mean.join(F.broadcast(threshold_mean(thresholds)), "label")
     out = joined.select("uid", "label", binarize(F.col("score"), F.col("thresh")).alias("y_hat"))
     if class_scores is not None:
-        classes = argmax_class(ensemble_mean(class_scores))
+        # the mean and the choice share one exchange
+        classes = argmax_class(ensemble_mean(class_scores.repartition("uid", "label")))
         out = out.unionByName(
             classes.select("uid", "label", (F.col("class_idx") + 1).cast("int").alias("y_hat"))
         )

@@ -156,7 +156,8 @@ def iou_classes(
     """Per-class IoU in percent, mean over groups.
 
     Rows are first counted per ``(group, y, y_hat)``; each of these cells then counts for its
-    true and its predicted class, so nothing is repeated per class at row level.
+    true and its predicted class, and once for its group, so nothing is repeated per class at
+    row level.
     """
     keyed = df.withColumn("_g", F.col(group) if group else F.lit(0))
     cells = keyed.groupBy("_g", "y", "y_hat").agg(F.count(F.lit(1)).alias("_n"))
@@ -164,27 +165,25 @@ def iou_classes(
     if ignore is not None:
         wrong_side = wrong_side & (F.col("y") != ignore)
     same = (F.col("y") == F.col("y_hat")).cast("bigint") * F.col("_n")
+    zero, whole = F.lit(0).cast("bigint"), F.lit(-1)
     sides = F.array(
         F.struct(F.col("y").alias("class"), same.alias("i"), F.col("_n").alias("u")),
-        F.struct(
-            F.when(wrong_side, F.col("y_hat")).alias("class"), F.lit(0).cast("bigint").alias("i"), F.col("_n").alias("u")
-        ),
+        F.struct(F.when(wrong_side, F.col("y_hat")).alias("class"), zero.alias("i"), F.col("_n").alias("u")),
+        F.struct(whole.alias("class"), zero.alias("i"), F.col("_n").alias("u")),
     )
-    parts = cells.select("_g", F.inline(sides)).filter(F.col("class").isNotNull())
+    parts = cells.select("_g", F.inline(sides)).filter(F.col("class").between(-1, n_classes - 1))
     per_group = parts.groupBy("_g", "class").agg(F.sum("i").alias("_i"), F.sum("u").alias("_u"))
     per_class = per_group.groupBy("class").agg(
-        F.sum(F.col("_i") / F.col("_u")).alias("_sum"), F.count(F.lit(1)).alias("_present")
+        F.sum(F.col("_i") / F.col("_u")).alias("sum"), F.count(F.lit(1)).alias("present")
     )
-    groups = keyed.agg(F.count_distinct("_g").alias("_groups"))
-    classes = groups.select("_groups", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class"))
+    # one row with a map of at most n_classes + 1 entries; the entry of class -1 counts the groups
+    packed = per_class.agg(F.map_from_entries(F.collect_list(F.struct("class", F.struct("sum", "present")))).alias("m"))
+    grid = packed.select("m", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class"))
     if ignore is not None:
-        classes = classes.filter(F.col("class") != ignore)
-    total = F.coalesce(F.col("_sum"), F.lit(0.0)) + (
-        F.col("_groups") - F.coalesce(F.col("_present"), F.lit(0))
-    ) * F.lit(empty)
-    return classes.join(F.broadcast(per_class.filter(F.col("class").between(0, n_classes - 1))), "class", "left").select(
-        F.col("class").cast("int").alias("class"), (F.lit(100.0) * total / F.col("_groups")).alias("iou")
-    )
+        grid = grid.filter(F.col("class") != ignore)
+    cell, groups = F.try_element_at("m", F.col("class")), F.try_element_at("m", whole)["present"]
+    total = F.coalesce(cell["sum"], F.lit(0.0)) + (groups - F.coalesce(cell["present"], zero)) * F.lit(empty)
+    return grid.select("class", (F.lit(100.0) * total / groups).alias("iou"))
 
 
 def nan_mean(x: Column, ignore_nan: bool = False, empty: float = 0.0) -> Column:

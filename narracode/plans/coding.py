@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from narracode.operators.answers import answers_to_codes, decode_labels, render_examples, render_prompt
-from narracode.operators.labels import align, with_labels
+from narracode.operators.answers import answers_to_codes, render_examples, render_prompt
+from narracode.operators.labels import align
 from narracode.operators.scoring import answer_batches
 
 
@@ -16,6 +16,6 @@ def code_records(
 ) -> DataFrame:
     """Codes for each record from ``answer_fn``; ``train`` (with a position column ``pos``) and
     its labels give the example block."""
-    examples = render_examples(with_labels(train, decode_labels(train_labels)))
+    examples = render_examples(train, train_labels)
     responses = answer_batches(render_prompt(records, examples), answer_fn)
     return align(answers_to_codes(responses, template_cols), records.select("uid"))

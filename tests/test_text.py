@@ -264,8 +264,8 @@ def test_json_answers(spark):
 def test_prompts(spark):
     records = spark.createDataFrame([("1", "one", None)], "uid string, narrative_le string, narrative_cme string")
     codes = spark.createDataFrame([(str(i), *[0] * 21, 1, 11) for i in range(5)], ", ".join(["uid string", *[f"{c} int" for c in CODING_SPEC.columns]]))
-    train = A.decode_labels(codes).select("*", F.lit("le").alias("narrative_le"), F.lit("cme").alias("narrative_cme"), F.col("uid").cast("int").alias("pos"))
-    block = A.render_examples(train)
+    train = codes.select("uid", F.lit("le").alias("narrative_le"), F.lit("cme").alias("narrative_cme"), F.col("uid").cast("int").alias("pos"))
+    block = A.render_examples(train, codes)
     text = block.first()["block"]
     assert text.count("EXAMPLE INPUT") == 3 and "Question 23:" in text and text.count("Answer: no\n") == 63
     prompt = A.render_prompt(records, block).first()["prompt"]
