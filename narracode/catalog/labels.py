@@ -75,7 +75,7 @@ def label_vocab(spark, sf):
         "code", F.when(F.col("label").isin(CODING_SPEC.binary), 1).otherwise(F.col("class_idx") + 1)
     )
     used = L.to_long(t.coded(spark, sf), CODING_SPEC.columns, "code").groupBy("label", "code").count()
-    joined = slots.join(F.broadcast(used), ["label", "code"], "left")
+    joined = slots.join(used, ["label", "code"], "left")
     return joined.select("idx", "name", F.coalesce("count", F.lit(0)).cast("bigint").alias("n"))
 
 

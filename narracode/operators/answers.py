@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narracode.functions.text import last_field, nonempty_lines, rstrip, strip
-from narracode.operators.labels import attach_one, decode_lookup, encode_lookup, to_long
+from narracode.operators.labels import attach_one, decode_lookup, encode_lookup
 from narracode.spec import (
     CODING_SPEC,
     DEFAULT_LOCATION,
@@ -169,15 +169,17 @@ def answers_to_codes(responses: DataFrame, template_cols: list[str] | None = Non
 
 def answer_codes_long(responses: DataFrame) -> DataFrame:
     """``uid, label, raw, code`` with a null code where the text has none (missing answers of
-    short responses included)."""
-    spec = CODING_SPEC
-    wide = answer_columns(responses, spec)
-    binary = to_long(wide.select("uid", *spec.binary), spec.binary, "raw").withColumn(
-        "code", yes_no_code(F.col("raw"), None)
-    )
-    location = location_code(wide.select("uid", F.lit(LOCATION).alias("label"), F.col(LOCATION).alias("raw")), "raw", "code", None)
-    weapon = weapon_code(wide.select("uid", F.lit(WEAPON).alias("label"), F.col(WEAPON).alias("raw")), "raw", "code", None)
-    return binary.unionByName(location).unionByName(weapon)
+    short responses included). One pass over the responses."""
+    wide = answer_columns(responses)
+    coded = weapon_code(location_code(wide, LOCATION, "_loc", None), WEAPON, "_weap", None)
+    codes = {LOCATION: F.col("_loc"), WEAPON: F.col("_weap")}
+    rows = [
+        F.struct(
+            F.lit(c).alias("label"), F.col(c).alias("raw"), codes.get(c, yes_no_code(F.col(c), None)).alias("code")
+        )
+        for c in CODING_SPEC.columns
+    ]
+    return coded.select("uid", F.inline(F.array(*rows)))
 
 
 def unexpected_values(codes_long: DataFrame) -> DataFrame:

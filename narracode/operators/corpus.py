@@ -14,11 +14,8 @@ def stack_texts(records: DataFrame) -> DataFrame:
     """``part, uid, line_no, line``: lines of the first narrative, then those of the second;
     a ``split`` column is kept."""
     keep = [c for c in ("uid", "split") if c in records.columns]
-    parts = [
-        records.select(F.lit(i).alias("part"), *keep, F.posexplode(F.split(col, "\n")).alias("line_no", "line"))
-        for i, col in enumerate(("narrative_le", "narrative_cme"))
-    ]
-    return parts[0].unionByName(parts[1])
+    sides = records.select(*keep, F.posexplode(F.array("narrative_le", "narrative_cme")).alias("part", "_text"))
+    return sides.select("part", *keep, F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
 
 
 def mask_tokens(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from narracode.functions.numeric import argmax, sigmoid, softmax
 from narracode.operators.labels import binarize
+from narracode.session import checked_broadcast
 from narracode.spec import LabelSpec
 
 
@@ -31,8 +32,7 @@ def ensemble_average(
     """Mean score strictly above mean threshold; for categorical labels the class with the
     largest mean score, plus one."""
     mean = binary_scores.groupBy("uid", "label").agg(F.avg("score").alias("score"))
-    # one row per label
-    joined = mean.join(F.broadcast(threshold_mean(thresholds)), "label")
+    joined = mean.join(checked_broadcast(threshold_mean(thresholds), "mean_thresholds"), "label")
     out = joined.select("uid", "label", binarize(F.col("score"), F.col("thresh")).alias("y_hat"))
     if class_scores is not None:
         # the mean and the choice share one exchange
@@ -45,8 +45,7 @@ def ensemble_average(
 
 def ensemble_vote(binary_scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Each model votes with its own threshold; more than half must agree, so a tie is 0."""
-    # one row per model and label
-    votes = binary_scores.join(F.broadcast(thresholds), ["model", "label"])
+    votes = binary_scores.join(checked_broadcast(thresholds, "thresholds"), ["model", "label"])
     ayes = F.count_if(F.col("score") > F.col("thresh"))
     return votes.groupBy("uid", "label").agg((2 * ayes > F.count(F.lit(1))).cast("int").alias("y_hat"))
 
@@ -68,8 +67,8 @@ def ensemble_vectors(members: DataFrame, thresholds: DataFrame, spec: LabelSpec)
     """
     n = spec.n_slots
     mean = members.groupBy("uid").agg(*[F.avg(F.get("vec", F.lit(i))).alias(f"_s{i}") for i in range(n)])
-    mean_thresholds = threshold_mean(thresholds)
-    limits = mean_thresholds.agg(
+    known = threshold_mean(thresholds.filter(F.col("label").isin(spec.binary)))
+    limits = known.agg(
         F.map_from_entries(F.collect_list(F.struct("label", "thresh"))).alias("limits")
     )
     with_limits = mean.withColumn("_limits", limits.scalar())

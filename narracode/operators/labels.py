@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from narracode.functions.numeric import cut, half_even
 from narracode.functions.text import repair_sentence_gaps
-from narracode.session import BROADCAST_ROWS
+from narracode.session import BROADCAST_ROWS, checked_broadcast
 from narracode.spec import LabelSpec, code_table
 
 # ------------------------------------------------------------------ projections
@@ -127,10 +127,9 @@ def attach_one(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
 
 
 def scores_with_thresholds(scores: DataFrame, thresholds: DataFrame, per_model: bool = False) -> DataFrame:
-    """Join decision thresholds on label, or on model and label. There is one threshold row
-    per label (and model), a size fixed by the label spec, never by the data."""
+    """Join decision thresholds on label, or on model and label."""
     on = ["model", "label"] if per_model else ["label"]
-    return scores.join(F.broadcast(thresholds), on)
+    return scores.join(checked_broadcast(thresholds, "thresholds"), on)
 
 
 # ------------------------------------------------------------------------ checks

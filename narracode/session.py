@@ -6,10 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Small tables are broadcast by hint only below this many rows; the callers pass a row
-# count that is fixed by construction (a label spec, a driver-side dict, a vocabulary
-# limited by max_features).
+# A table is broadcast by hint only if it has at most this many rows. The number is known by
+# construction (a driver-side dict, a vocabulary limited by max_features) or counted.
 BROADCAST_ROWS = 500_000
 
 _local_scratch: str | None = None
@@ -65,3 +65,12 @@ def write_table(df: DataFrame, name: str, *partition_cols: str) -> DataFrame:
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+def checked_broadcast(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of ``df`` only if it is known to have at most ``limit`` rows.
+
+    The table is written first, so its rows are computed once and the count is a look at the
+    files; a larger table is joined without a hint.
+    """
+    table = write_table(df, name)
+    return F.broadcast(table) if table.count() <= limit else table
