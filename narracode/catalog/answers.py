@@ -255,24 +255,53 @@ def unparsed_report(spark, sf):
     return A.unparsed_keys(responses).withColumn("n", A.unparsed_count(responses).scalar())
 
 
-def by_length(prompts: list[str], question: str) -> list[str]:
-    """A stand-in for a question-answering model: answers from the lengths alone."""
-    places = list(LOCATION_NAMES.values())
+def by_accent(prompts: list[str], question: str) -> list[str]:
+    """A stand-in for a question-answering model: looks for an accented letter in the record."""
     out = []
     for prompt in prompts:
-        n = len(prompt) + len(question)
-        out.append([" Yes.", " no", " yes\nQuestion 9: x", " nan ", f" {places[n % 6]}"][n % 5])
+        found = "é" in prompt.rsplit("\nINPUT:\n", 1)[1]
+        if question.startswith("Type of weapon"):
+            out.append(" GSW to the head \nQuestion 24: x" if found else " NaN")
+        elif question.startswith("The type of place"):
+            out.append(" Dorm" if found else " nowhere")
+        else:
+            out.append(" Yes, it was" if found else " unknown\nQuestion 3: yes")
     return out
 
 
-@query("answer_batches")
+_found = "contains(narrative_le || narrative_cme, 'é')"
+# a line of the answer to a yes/no question; cutting the next question leaves no "yes" in it
+_accent = {
+    "seen": f"SELECT uid, {_found} AS hit FROM records",
+    "lines_": "SELECT uid, hit, CASE WHEN hit THEN 'Q: yes' ELSE 'Q: no' END AS l FROM seen",
+}
+
+
+@query(
+    "answer_batches",
+    t.with_tables(
+        "SELECT uid, md5(repeat(l || chr(10), 21) || CASE WHEN hit THEN 'Q: Dorm' || chr(10) || 'Q: GSW to the head' "
+        "ELSE 'Q: nowhere' || chr(10) || 'Q: unknown' END) AS response_md5 FROM lines_",
+        "records",
+        extra=_accent,
+    ),
+)
 def answer_batches_query(spark, sf):
-    prompts = A.render_prompt(t.records(spark, sf))
-    return answer_batches(prompts, by_length)
+    """All questions in turn over all records."""
+    responses = answer_batches(A.render_prompt(t.records(spark, sf)), by_accent)
+    return responses.select("uid", F.md5("response").alias("response_md5"))
 
 
-@query("code_records")
+@query(
+    "code_records",
+    t.with_tables(
+        "SELECT uid, "
+        + ", ".join(f"CAST(hit AS INT) AS {c}" for c in CODING_SPEC.binary)
+        + ", CASE WHEN hit THEN 1 ELSE 6 END AS InjuryLocationType, CASE WHEN hit THEN 5 ELSE 12 END AS WeaponType1 FROM seen",
+        "records",
+        extra={"seen": _accent["seen"]},
+    ),
+)
 def code_records_query(spark, sf):
     """Records to prompts, answers of the stand-in model, and codes."""
-    records = t.records(spark, sf)
-    return code_records(records, train_records(spark, sf), t.coded(spark, sf), by_length)
+    return code_records(t.records(spark, sf), train_records(spark, sf), t.coded(spark, sf), by_accent)

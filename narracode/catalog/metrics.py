@@ -198,7 +198,7 @@ def _slot_label(start: int, n: int) -> str:
 
 
 _ranges = [r for r in CODING_SPEC.slot_ranges() if r[1] == "categorical"]
-_mean_slots = {
+MEAN_SLOTS = {
     "acts": (
         f"SELECT model, uid, slot, CASE WHEN slot <= 21 THEN {_sig} ELSE "
         "exp(x) / sum(exp(x)) OVER (PARTITION BY model, uid, CASE WHEN slot <= 21 THEN 0 WHEN slot <= 27 THEN 1 ELSE 2 END) END AS s "
@@ -221,7 +221,7 @@ _vector_sql = (
 )
 
 
-@query("ensemble_vectors", t.with_tables(_vector_sql, "member_slots", extra=_mean_slots))
+@query("ensemble_vectors", t.with_tables(_vector_sql, "member_slots", extra=MEAN_SLOTS))
 def ensemble_vectors(spark, sf):
     """Average ensemble on packed 39-slot vectors; the thresholds average to 0.4."""
     members = activate(t.member_vectors(spark, sf), CODING_SPEC).select("model", "uid", "vec")

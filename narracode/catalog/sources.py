@@ -240,7 +240,25 @@ def save_oof(spark, sf):
     return back.select("label", "uid", "fold", "y", F.round("score", 6).alias("score"), "y_hat")
 
 
-@query("activate_scores")
+_part = "CASE WHEN slot <= 21 THEN 0 WHEN slot <= 27 THEN 1 ELSE 2 END"
+
+
+@query(
+    "activate_scores",
+    t.with_tables(
+        "SELECT model, uid, round(sum(CASE WHEN slot <= 21 THEN s * slot END), 5) AS bin, round(sum(CASE WHEN slot > 21 THEN s * slot END), 5) AS cat "
+        "FROM (SELECT model, uid, slot, CASE WHEN slot <= 21 THEN 1 / (1 + exp(-x)) ELSE "
+        f"exp(x) / sum(exp(x)) OVER (PARTITION BY model, uid, {_part}) END AS s FROM member_slots) GROUP BY model, uid",
+        "member_slots",
+    ),
+)
 def activate_scores(spark, sf):
     """Logit vectors of the members as score vectors (the first step of inference)."""
-    return activate(t.member_vectors(spark, sf), CODING_SPEC).select("model", "uid", "vec")
+    scored = activate(t.member_vectors(spark, sf), CODING_SPEC)
+    weighted = F.transform("vec", lambda s, i: s * (i + 1))
+    return scored.select(
+        "model",
+        "uid",
+        F.round(array_sum(F.slice(weighted, 1, 21)), 5).alias("bin"),
+        F.round(array_sum(F.slice(weighted, 22, 18)), 5).alias("cat"),
+    )

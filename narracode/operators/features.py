@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ from narracode.functions.text import word_tokens
 from narracode.session import BROADCAST_ROWS, write_table
 
 
+def english_stop_words() -> list[str]:
+    """Spark's own English list."""
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
 def by_record(docs: DataFrame) -> DataFrame:
     """The texts, hash-partitioned by record. The partition count is given, as rows grow by a
     large factor behind this exchange and partitions must not be merged by their text size."""

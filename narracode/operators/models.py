@@ -6,8 +6,9 @@ and folds only, and receives thresholds and scores of a few rows.
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -15,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narracode.operators.features import char_terms, fit_vocab, tfidf, to_vector, word_terms
@@ -105,47 +106,60 @@ def append_scores(df: DataFrame, external: DataFrame, cols: list[str]) -> DataFr
 # ------------------------------------------------------------- fitted features
 
 
+@dataclass(frozen=True)
+class FeatureOptions:
+    """How vocabularies are fitted and applied."""
+
+    word_range: tuple[int, int] = (1, 3)
+    char_range: tuple[int, int] = (3, 6)
+    min_df: int = 5
+    max_df: float = 1.0
+    max_features: int = 100_000
+    stop_words: tuple[str, ...] = ()
+
+    def words(self, docs: DataFrame) -> DataFrame:
+        return word_terms(docs, *self.word_range, list(self.stop_words))
+
+    def chars(self, docs: DataFrame) -> DataFrame:
+        return char_terms(docs, *self.char_range)
+
+
 @dataclass
 class TextFeatures:
     """Word and character vocabularies that were fitted on a corpus."""
 
+    options: FeatureOptions
     word_vocab: DataFrame
     char_vocab: DataFrame
     n_word: int
     n_char: int
-    word_range: tuple[int, int]
-    char_range: tuple[int, int]
-    max_features: int
 
     @classmethod
-    def fit(
-        cls,
-        docs: DataFrame,
-        word_range: tuple[int, int] = (1, 3),
-        char_range: tuple[int, int] = (3, 6),
-        min_df: int = 5,
-        max_df: float = 1.0,
-        max_features: int = 100_000,
-    ) -> TextFeatures:
+    def fit(cls, docs: DataFrame, options: FeatureOptions = FeatureOptions()) -> TextFeatures:
         n = docs.select(F.count(F.lit(1)).alias("n"))
-        word = fit_vocab(word_terms(docs, *word_range), n, min_df, max_df, max_features)
-        char = fit_vocab(char_terms(docs, *char_range), n, min_df, max_df, max_features)
-        word, char = write_table(word, "word_vocab"), write_table(char, "char_vocab")
-        return cls(word, char, word.count(), char.count(), word_range, char_range, max_features)
+        limits = (n, options.min_df, options.max_df, options.max_features)
+        word = write_table(fit_vocab(options.words(docs), *limits), "word_vocab")
+        char = write_table(fit_vocab(options.chars(docs), *limits), "char_vocab")
+        return cls(options, word, char, word.count(), char.count())
 
     def save(self, path: str) -> None:
         self.word_vocab.write.parquet(f"{path}/word_vocab")
         self.char_vocab.write.parquet(f"{path}/char_vocab")
+        options = self.word_vocab.sparkSession.createDataFrame([(json.dumps(asdict(self.options)),)], "value string")
+        options.write.text(f"{path}/options")
 
     @classmethod
-    def load(cls, spark, path: str, word_range=(1, 3), char_range=(3, 6), max_features=100_000) -> TextFeatures:
+    def load(cls, spark: SparkSession, path: str) -> TextFeatures:
+        raw = json.loads(spark.read.text(f"{path}/options").first()["value"])
+        options = FeatureOptions(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
         word, char = spark.read.parquet(f"{path}/word_vocab"), spark.read.parquet(f"{path}/char_vocab")
-        return cls(word, char, word.count(), char.count(), word_range, char_range, max_features)
+        return cls(options, word, char, word.count(), char.count())
 
     def transform(self, docs: DataFrame) -> DataFrame:
         """``uid, features``: both weight blocks in one sparse vector, characters after words."""
-        word = tfidf(word_terms(docs, *self.word_range), self.word_vocab, self.max_features)
-        char = tfidf(char_terms(docs, *self.char_range), self.char_vocab, self.max_features)
+        limit = self.options.max_features
+        word = tfidf(self.options.words(docs), self.word_vocab, limit)
+        char = tfidf(self.options.chars(docs), self.char_vocab, limit)
         both = word.unionByName(char.withColumn("term_id", F.col("term_id") + self.n_word))
         return to_vector(both, self.n_word + self.n_char, docs)
 
@@ -244,25 +258,59 @@ def save_models(models: dict[str, object], path: str) -> dict[str, str]:
 
 @dataclass
 class RegistryEntry:
-    """Where a label's model and its feature vocabularies were saved."""
+    """Where a label's model and its feature vocabularies were saved, and what the model was
+    trained on besides the text: another model's outputs, the chained score."""
 
     label: str
     kind: str
     model_path: str
     feature_path: str
     threshold: float | None = None
+    external: bool = False
+    chained: bool = False
 
 
-def mixed_predict(docs: DataFrame, registry: list[RegistryEntry], load_features) -> DataFrame:
+def mixed_predict(
+    docs: DataFrame,
+    registry: list[RegistryEntry],
+    external: DataFrame | None = None,
+    external_cols: list[str] | None = None,
+    chain_from: str | None = None,
+) -> DataFrame:
     """Codes ``uid, label, y_hat`` where each label may use the model and the vocabularies of
-    a different run. Records are featurised once per distinct vocabulary."""
-    ready, parts = {}, []
+    a different run. Records are featurised once per distinct set of features; ``chain_from``
+    stands before the entries that are chained to it."""
+    spark = docs.sparkSession
+    ready, parts, chain = {}, [], None
     for entry in registry:
-        if entry.feature_path not in ready:
-            ready[entry.feature_path] = write_table(load_features(entry.feature_path).transform(docs), "features")
-        scored = scores(PipelineModel.load(entry.model_path), ready[entry.feature_path], entry.kind)
+        text_key, key = (entry.feature_path, False), (entry.feature_path, entry.external)
+        if text_key not in ready:
+            features = TextFeatures.load(spark, entry.feature_path)
+            ready[text_key] = write_table(features.transform(docs), "features")
+        if key not in ready:
+            ready[key] = write_table(append_scores(ready[text_key], external, external_cols), "features")
+        x = chain_feature(ready[key], chain) if entry.chained else ready[key]
+        scored = scores(PipelineModel.load(entry.model_path), x, entry.kind).select("uid", "score")
+        if entry.label == chain_from:
+            scored = chain = write_table(scored, "chain_scores")
         code = (
             binarize(F.col("score"), F.lit(entry.threshold)) if entry.kind == "binary" else (F.col("score") + 1).cast("int")
         )
         parts.append(scored.select("uid", F.lit(entry.label).alias("label"), code.alias("y_hat")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def save_run(
+    features: TextFeatures, result: FitResult, path: str, external: bool = False, chain_from: str | None = None
+) -> list[RegistryEntry]:
+    """Save a run's vocabularies and models; returns its registry entries in label order."""
+    features.save(f"{path}/features")
+    paths = save_models(result.models, f"{path}/models")
+    entries, seen = [], False
+    for label, threshold in result.thresholds.items():
+        kind = "categorical" if threshold is None else "binary"
+        entries.append(
+            RegistryEntry(label, kind, paths[label], f"{path}/features", threshold, external, seen and kind == "binary")
+        )
+        seen = seen or label == chain_from
+    return entries

@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 
+from narracode.operators.features import english_stop_words
 from narracode.operators.labels import align, corpus, semi
-from narracode.operators.models import FitResult, TextFeatures, append_scores, fit_predict_all, linear
+from narracode.operators.models import FeatureOptions, FitResult, TextFeatures, append_scores, boosted, fit_predict_all, linear
 from narracode.spec import LabelSpec
 
 
+@dataclass
+class RunSettings:
+    """Features, estimator per label, folds and the label whose score is chained."""
+
+    options: FeatureOptions = field(default_factory=FeatureOptions)
+    make_estimator: Callable = lambda label, kind: linear(kind)
+    folds: int = 4
+    seed: int = 314159
+    chain_from: str | None = "SuicideIntentDisclosed"
+
+
+def boosted_settings(linear_labels: tuple[str, ...] = ("WeaponType1",), **trees) -> RunSettings:
+    """Boosted trees on all n-grams that occur in five records; the named labels stay linear."""
+    return RunSettings(
+        make_estimator=lambda label, kind: linear(kind) if label in linear_labels else boosted(kind, **trees)
+    )
+
+
+def linear_settings() -> RunSettings:
+    """Linear models on n-grams of ten to 60 % of the records, without stop words."""
+    options = FeatureOptions(min_df=10, max_df=0.6, stop_words=tuple(english_stop_words()))
+    return RunSettings(options, folds=5)
+
+
 def train_and_predict(
     train_records: DataFrame,
     train_labels: DataFrame,
     test_records: DataFrame,
     spec: LabelSpec,
+    settings: RunSettings,
     external: DataFrame | None = None,
-    make_estimator=lambda label, kind: linear(kind),
-    folds: int = 4,
-    chain_from: str | None = None,
-    **feature_options,
 ) -> tuple[TextFeatures, FitResult]:
     """Fit vocabularies on the training corpus, featurise both sides, run every label.
 
     ``external`` holds another model's outputs per label for both sides.
     """
     train_docs, test_docs = corpus(train_records), corpus(test_records)
-    features = TextFeatures.fit(train_docs, **feature_options)
+    features = TextFeatures.fit(train_docs, settings.options)
     x_train, x_test = features.transform(train_docs), features.transform(test_docs)
     if external is not None:
         for_train = align(semi(external, train_docs.select("uid")), train_docs.select("uid"))
@@ -33,4 +58,7 @@ def train_and_predict(
         x_train = append_scores(x_train, for_train, spec.columns)
         x_test = append_scores(x_test, for_test, spec.columns)
     train = x_train.join(train_labels, "uid")
-    return features, fit_predict_all(train, x_test, spec, make_estimator, folds, chain_from=chain_from)
+    result = fit_predict_all(
+        train, x_test, spec, settings.make_estimator, settings.folds, settings.seed, settings.chain_from
+    )
+    return features, result

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -10,13 +12,19 @@ from pyspark.sql import functions as F
 
 from narracode.operators import models as M
 from narracode.operators.scoring import answer_batches, score_batches
-from narracode.plans.classify import train_and_predict
+from narracode.plans import stacked
+from narracode.plans.classify import RunSettings, boosted_settings, linear_settings, train_and_predict
 from narracode.plans.coding import code_records
 from narracode.session import scratch_path
 from narracode.spec import CODING_SPEC, QUESTIONS, LabelSpec
 
 SPEC = LabelSpec(["hot", "wet"], {"kind": 3})
-OPTIONS = dict(word_range=(1, 1), char_range=(3, 3), min_df=2, max_features=60)
+OPTIONS = M.FeatureOptions(word_range=(1, 1), char_range=(3, 3), min_df=2, max_features=60)
+
+
+def settings(chain_from=None):
+    return RunSettings(OPTIONS, folds=3, chain_from=chain_from)
+
 
 
 @pytest.fixture(scope="module")
@@ -69,7 +77,7 @@ def test_chain_feature_appends_the_score_by_key(spark):
 
 def test_protocol_learns_and_chains(spark, labelled):
     records, labels = labelled
-    features, result = train_and_predict(records, labels, records, SPEC, folds=3, chain_from="hot", **OPTIONS)
+    features, result = train_and_predict(records, labels, records, SPEC, settings("hot"))
     assert set(result.models) == set(SPEC.columns) and result.thresholds["kind"] is None
     assert min(result.scores.values()) > 0.95
     assert result.oof.count() == 3 * 120
@@ -86,7 +94,9 @@ def test_protocol_learns_and_chains(spark, labelled):
 def test_external_scores_become_features(spark, labelled):
     records, labels = labelled
     external = labels.select("uid", F.col("hot").cast("double").alias("hot"))
-    features, result = train_and_predict(records, labels.select("uid", "hot"), records, LabelSpec(["hot"]), external, folds=3, **OPTIONS)
+    features, result = train_and_predict(
+        records, labels.select("uid", "hot"), records, LabelSpec(["hot"]), settings(), external
+    )
     assert result.models["hot"].numFeatures == features.n_word + features.n_char + 1
     assert result.scores["hot"] == 1.0
 
@@ -96,23 +106,43 @@ def test_registry_mixes_runs(spark, labelled):
     docs = records.select("uid", F.concat_ws(" ", "narrative_le", "narrative_cme").alias("text"))
     base = scratch_path(spark, "test_registry")
     entries = []
-    for label, kind, options in (("hot", "binary", OPTIONS), ("kind", "categorical", dict(OPTIONS, max_features=40))):
-        features = M.TextFeatures.fit(docs, **options)
+    for label, kind, options in (("hot", "binary", OPTIONS), ("kind", "categorical", replace(OPTIONS, max_features=40))):
+        features = M.TextFeatures.fit(docs, options)
         features.save(f"{base}/{label}/features")
         y = F.col(label) - (0 if kind == "binary" else 1)
         rows = features.transform(docs).join(labels.select("uid", y.alias("y")), "uid")
         paths = M.save_models({label: M.fit(M.linear(kind), rows)}, f"{base}/{label}/models")
         entries.append(M.RegistryEntry(label, kind, paths[label], f"{base}/{label}/features", 0.5))
-    ranges = {k: OPTIONS[k] for k in ("word_range", "char_range", "max_features")}
-    got = M.mixed_predict(docs, entries, lambda path: M.TextFeatures.load(spark, path, **ranges))
+    got = M.mixed_predict(docs, entries)
     long = labels.unpivot(["uid"], ["hot", "kind"], "label", "y")
     assert got.join(long, ["uid", "label"]).filter("y_hat = y").count() >= 235
 
 
+def test_saved_run_predicts_what_it_predicted(spark, labelled):
+    """External outputs and the chained score reach the saved models again."""
+    records, labels = labelled
+    codes = labels.select("uid", *[F.col(c).cast("double").alias(c) for c in SPEC.columns])
+    features, result = train_and_predict(records, labels, records, SPEC, settings("hot"), codes)
+    entries = M.save_run(features, result, scratch_path(spark, "run"), external=True, chain_from="hot")
+    assert [(e.label, e.chained) for e in entries] == [("hot", False), ("wet", True), ("kind", False)]
+    again = stacked.predict(records, codes, entries, SPEC.columns, "hot")
+    first = result.submission.unpivot(["uid"], SPEC.columns, "label", "code")
+    assert again.join(first, ["uid", "label"]).filter("y_hat = code").count() == 360
+    loaded = M.TextFeatures.load(spark, entries[0].feature_path)
+    assert loaded.options == OPTIONS and loaded.n_word == features.n_word
+
+
+def test_presets(spark):
+    assert type(boosted_settings(trees=3).make_estimator("a", "binary")).__name__ == "Pipeline"
+    assert type(boosted_settings().make_estimator("WeaponType1", "categorical")).__name__ == "LogisticRegression"
+    preset = linear_settings()
+    assert (preset.options.min_df, preset.options.max_df, preset.folds) == (10, 0.6, 5) and "the" in preset.options.stop_words
+
+
 def test_a_record_without_known_terms_is_kept(spark, labelled):
     records, _ = labelled
     docs = records.select("uid", F.concat_ws(" ", "narrative_le", "narrative_cme").alias("text"))
-    features = M.TextFeatures.fit(docs, **OPTIONS)
+    features = M.TextFeatures.fit(docs, OPTIONS)
     odd = spark.createDataFrame([("x", "zzzz"), ("y", "")], "uid string, text string")
     got = features.transform(odd).collect()
     assert {r["uid"]: r["features"].numNonzeros() for r in got} == {"x": 0, "y": 0}
