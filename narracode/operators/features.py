@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narracode.functions.text import word_tokens
+from narracode.operators.folds import global_rank
 from narracode.session import BROADCAST_ROWS, write_table
 
 
@@ -108,16 +109,12 @@ def fit_vocab(
 
 
 def number_terms(totals: DataFrame, small: bool = False) -> DataFrame:
-    """Dense ids in term order. A vocabulary of any size is counted within first-two-character
-    ranges and shifted by the size of the ranges before; a limited one is counted at once."""
+    """Dense ids in term order. A limited vocabulary is counted at once; one of any size is
+    ranked inside ranges of terms with the same first four characters."""
     if small:
         return totals.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
-    keyed = totals.withColumn("_first", F.substring("term", 1, 2))
-    sizes = keyed.groupBy("_first").agg(F.count(F.lit(1)).alias("_size"))
-    starts = sizes.select("_first", (F.sum("_size").over(Window.orderBy("_first")) - F.col("_size")).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_first").orderBy("term")) - 1
-    joined = keyed.join(starts, "_first")
-    return joined.withColumn("term_id", (rank + F.col("_start")).cast("int")).drop("_first", "_start")
+    ranked = global_rank(totals, F.col("term"), coarse=F.substring("term", 1, 2), digits=4)
+    return ranked.withColumn("term_id", F.col("rank").cast("int")).drop("rank", "n")
 
 
 def _vocab_side(vocab: DataFrame, max_features: int | None) -> DataFrame:

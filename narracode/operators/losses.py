@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from narracode.functions.numeric import let, log_sum_exp, relu, sigmoid
 from narracode.spec import LabelSpec
 
-ERROR_RANGES = 256
+ERROR_RANGES = 1024
 
 
 # ------------------------------------------------------------------ per record
@@ -146,7 +146,7 @@ def lovasz_by_group(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(positive).cast("bigint")).alias("_p")
     )
     probabilities = [i / ranges for i in range(1, ranges)]
-    limits = sorted(set(df.approxQuantile(error, probabilities, 0.002))) if probabilities else []
+    limits = sorted(set(df.approxQuantile(error, probabilities, 0.25 / ranges))) if probabilities else []
     splits = [float("-inf"), *limits, float("inf")]
     if len(splits) < 3:
         blocks = blocks.withColumn("_range", F.lit(0.0))
