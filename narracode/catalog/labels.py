@@ -161,6 +161,19 @@ def validate(spark, sf):
     return L.validate(preds, labels, t.DOC_SPEC)
 
 
+@query(
+    "validate_labels",
+    t.with_tables(
+        "SELECT 'unique_keys' AS \"check\", count(uid) = count(DISTINCT uid) AS ok FROM labels_wide UNION ALL "
+        "SELECT 'classes_lang_code', count(DISTINCT lang_code) = 4 FROM labels_wide UNION ALL "
+        "SELECT 'classes_source_code', count(DISTINCT source_code) = 12 FROM labels_wide",
+        "labels_wide",
+    ),
+)
+def validate_labels(spark, sf):
+    return L.validate_labels(t.labels_wide(spark, sf), t.DOC_SPEC)
+
+
 # ------------------------------------------------------------------------ joins
 
 

@@ -63,10 +63,10 @@ def f1_binary(spark, sf):
 
 @query(
     "f1_macro",
-    t.with_tables("SELECT round(avg(f1), 6) AS f1 FROM f1b WHERE model = 0", "member_preds", extra=F1_SQL),
+    t.with_tables("SELECT model, round(avg(f1), 6) AS f1 FROM f1b GROUP BY model", "member_preds", extra=F1_SQL),
 )
 def f1_macro(spark, sf):
-    return rounded(M.f1_macro(binary_preds(spark, sf).filter(F.col("model") == 0)), "f1")
+    return rounded(M.f1_macro(binary_preds(spark, sf), ["model"]), "f1")
 
 
 @query("f1_micro", t.with_tables("SELECT model, label, round(f1, 6) AS f1 FROM f1c", "member_preds", extra=F1_SQL))
@@ -395,17 +395,17 @@ def random_baseline(spark, sf):
     return rounded(M.random_baseline(t.labels_long(spark, sf), t.DOC_SPEC.frame(spark), 5), "f1")
 
 
-def quality_by_language(spark, sf):
-    """Member 0's decisions on one binary label, grouped by language."""
-    preds = binary_preds(spark, sf).filter((F.col("model") == 0) & (F.col("label") == "toxic"))
-    return preds.join(t.labels_wide(spark, sf).select("uid", F.col("lang_code").alias("grp")), "uid")
+def decisions_by_language(spark, sf):
+    """The members' decisions on the binary labels, grouped by member, label and language."""
+    languages = t.labels_wide(spark, sf).select("uid", "lang_code")
+    return binary_preds(spark, sf).join(languages, "uid").withColumn("grp", F.concat_ws("-", "model", "label", "lang_code"))
 
 
 IOU_SQL = {
-    "rows_": "SELECT p.uid, p.y, p.y_hat, w.lang_code AS grp FROM member_preds p JOIN labels_wide w ON p.uid = w.uid WHERE model = 0 AND label = 'toxic'",
+    "rows_": "SELECT p.uid, p.y, p.y_hat, model || label || w.lang_code AS grp FROM member_preds p JOIN labels_wide w ON p.uid = w.uid WHERE kind = 'binary'",
     "cls": (
-        "SELECT p.uid, p.y - 1 AS y, p.y_hat - 1 AS y_hat, w.lang_code AS grp FROM member_preds p JOIN labels_wide w ON p.uid = w.uid "
-        "WHERE model = 0 AND label = 'source_code'"
+        "SELECT p.uid, p.y - 1 AS y, p.y_hat - 1 AS y_hat, model || '-' || w.lang_code AS grp FROM member_preds p "
+        "JOIN labels_wide w ON p.uid = w.uid WHERE label = 'source_code'"
     ),
 }
 
@@ -420,7 +420,7 @@ IOU_SQL = {
     ),
 )
 def iou_binary(spark, sf):
-    return rounded(M.iou_binary(quality_by_language(spark, sf), "grp"), "iou")
+    return rounded(M.iou_binary(decisions_by_language(spark, sf), "grp"), "iou")
 
 
 @query(
@@ -435,10 +435,11 @@ def iou_binary(spark, sf):
     ),
 )
 def iou_classes(spark, sf):
-    """Source classes by language, with class 3 as the void class."""
-    preds = t.member_preds(spark, sf).filter((F.col("model") == 0) & (F.col("label") == "source_code"))
-    zero = preds.select("uid", (F.col("y") - 1).alias("y"), (F.col("y_hat") - 1).alias("y_hat"))
-    grouped = zero.join(t.labels_wide(spark, sf).select("uid", F.col("lang_code").alias("grp")), "uid")
+    """Source classes by member and language, with class 3 as the void class."""
+    preds = t.member_preds(spark, sf).filter(F.col("label") == "source_code")
+    languages = t.labels_wide(spark, sf).select("uid", "lang_code")
+    zero = preds.select("model", "uid", (F.col("y") - 1).alias("y"), (F.col("y_hat") - 1).alias("y_hat"))
+    grouped = zero.join(languages, "uid").withColumn("grp", F.concat_ws("-", "model", "lang_code"))
     return rounded(M.iou_classes(grouped, 12, "grp", ignore=3), "iou")
 
 

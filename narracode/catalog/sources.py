@@ -175,9 +175,7 @@ FOLDS_SQL = "SELECT uid, CAST(ntile(5) OVER (ORDER BY md5('7|' || uid)) - 1 AS I
 )
 def write_lines(spark, sf):
     path = scratch_path(spark, "lines")
-    records = t.records(spark, sf)
-    folds = kfold(records.select("uid"), 5, 7)
-    writers.write_lines(fold_split(records.join(folds, "uid"), 0), path)
+    writers.write_lines(fold_split(kfold(t.records(spark, sf), 5, 7), 0), path)
     back = spark.read.schema("value string, split string").text(path)
     return back.groupBy("split", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -168,3 +168,12 @@ def validate(pred: DataFrame, labels: DataFrame, spec: LabelSpec) -> DataFrame:
     )
     return spark.createDataFrame(static, "check string, ok boolean").unionByName(dynamic)
 
+
+def validate_labels(labels: DataFrame, spec: LabelSpec) -> DataFrame:
+    """One row ``check, ok`` per rule on a label table: each key once, as many classes as the
+    specification says."""
+    counts = labels.agg(
+        (F.count("uid") == F.count_distinct("uid")).alias("unique_keys"),
+        *[(F.count_distinct(c) == n).alias(f"classes_{c}") for c, n in spec.categorical.items()],
+    )
+    return counts.unpivot([], counts.columns, "check", "ok")

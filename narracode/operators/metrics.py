@@ -37,8 +37,8 @@ def f1_binary(preds: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
     return confusion(preds, by).select(*by, f1.alias("f1"))
 
 
-def f1_macro(preds: DataFrame) -> DataFrame:
-    return f1_binary(preds).agg(F.avg("f1").alias("f1"))
+def f1_macro(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return f1_binary(preds, [*by, "label"]).groupBy(*by).agg(F.avg("f1").alias("f1"))
 
 
 def f1_micro(preds: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:

@@ -15,15 +15,18 @@ from narracode.operators.ordering import layout_by_length
 from narracode.spec import QUESTIONS
 
 
-def score_batches(docs: DataFrame, make_model: Callable, batch: int = 16, out: str = "vec") -> DataFrame:
+def score_batches(
+    docs: DataFrame, make_model: Callable, batch: int = 16, out: str = "vec", layout: bool = True
+) -> DataFrame:
     """``uid, vec``: the model's score vector per text.
 
     ``make_model()`` runs once per Python worker and returns a function from an array of
-    texts to a 2-d float array. Records of like length are laid out together first.
+    texts to a 2-d float array. With ``layout``, records of like length are moved together
+    first, which pays for models that pad a batch to its longest text.
     """
     predict = predict_batch_udf(make_model, return_type=ArrayType(FloatType()), batch_size=batch)
-    laid_out = layout_by_length(docs.withColumn("str_len", F.length("text")))
-    return laid_out.select("uid", predict(F.col("text")).alias(out))
+    rows = layout_by_length(docs.withColumn("str_len", F.length("text"))) if layout else docs
+    return rows.select("uid", predict(F.col("text")).alias(out))
 
 
 def answer_batches(

@@ -52,17 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/narracode/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str, *partition_cols: str) -> DataFrame:
+def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df`` with a Parquet table in the shared folder.
 
     Later readers scan the files, so a lost executor costs a re-read and not a re-run of
     everything upstream.
     """
     path = scratch_path(df.sparkSession, name)
-    writer = df.write
-    if partition_cols:
-        writer = writer.partitionBy(*partition_cols)
-    writer.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

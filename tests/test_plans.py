@@ -84,10 +84,15 @@ def test_kept_checkpoints_are_limited_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
-def test_fold_windows_over_rows_are_partitioned(spark, sf):
-    text = plan(kfold(t.docs(spark, sf).select("uid"), 5, 1))
+def test_folds_do_not_move_the_records(spark, sf):
+    df = kfold(t.docs(spark, sf), 5, 1)
+    text = plan(df)
     ranks = [line for line in text.splitlines() if "row_number()" in line and "Window [" in line]
     assert ranks and all("_range" in line for line in ranks)
+    # nothing is exchanged outside the subquery that finds the k bounds, and it has no texts
+    assert [line for line in text.splitlines() if "Exchange" in line and "text" in line] == []
+    folds_of_wide = {(r["uid"], r["fold"]) for r in df.select("uid", "fold").collect()}
+    assert folds_of_wide == {(r["uid"], r["fold"]) for r in kfold(t.docs(spark, sf).select("uid"), 5, 1).collect()}
 
 
 def test_scans_read_only_needed_columns(spark, sf):

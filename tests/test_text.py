@@ -15,7 +15,7 @@ from narracode.operators import answers as A
 from narracode.operators import features as V
 from narracode.operators.corpus import mask_tokens, stack_texts
 from narracode.operators.folds import batch_ids, global_rank, hash_key, kfold, stratified_kfold
-from narracode.operators.labels import align, assign, corpus, decode_lookup, encode_lookup, validate
+from narracode.operators.labels import align, assign, corpus, decode_lookup, encode_lookup, validate, validate_labels
 from narracode.spec import CODING_SPEC, LOCATION_CODES, LOCATION_NAMES, WEAPON_CODES, WEAPON_NAMES, LabelSpec, slot_names
 
 TEXTS = {
@@ -181,6 +181,14 @@ def test_validate_reports_each_fault(spark):
     assert not {r["check"]: r["ok"] for r in validate(floats, good, spec).collect()}["integer_columns"]
 
 
+def test_validate_labels(spark):
+    spec = LabelSpec(["a"], {"c": 2})
+    good = spark.createDataFrame([("1", 1, 1), ("2", 0, 2)], "uid string, a int, c int")
+    assert all(r["ok"] for r in validate_labels(good, spec).collect())
+    bad = {r["check"]: r["ok"] for r in validate_labels(good.limit(1).union(good.limit(1)), spec).collect()}
+    assert bad == {"unique_keys": False, "classes_c": False}
+
+
 def test_slots(spark):
     rows = slot_names(CODING_SPEC.frame(spark)).orderBy("idx").collect()
     assert len(rows) == 39 and [r["idx"] for r in rows] == list(range(39))
