@@ -70,13 +70,14 @@ def read_template(spark: SparkSession, path: str, spec: LabelSpec = CODING_SPEC)
     )
 
 
-def read_member_scores(spark: SparkSession, path: str) -> DataFrame:
-    """``model, uid, vec`` of all ensemble members from one table partitioned by model."""
-    return spark.read.schema("uid string, vec array<double>, model int").parquet(path)
+def read_member_scores(spark: SparkSession, path: str, model_type: str = "int") -> DataFrame:
+    """``model, uid, vec`` of all ensemble members from one table with a ``model=<name>``
+    folder per member; named members need ``model_type="string"``."""
+    return spark.read.schema(f"uid string, vec array<double>, model {model_type}").parquet(path)
 
 
 def read_member_thresholds(
-    spark: SparkSession, path: str, spec: LabelSpec = CODING_SPEC, which: str = "last"
+    spark: SparkSession, path: str, spec: LabelSpec = CODING_SPEC, which: str = "last", model_type: str = "int"
 ) -> DataFrame:
     """``model, label, thresh`` from each member's JSON configuration.
 
@@ -85,7 +86,7 @@ def read_member_thresholds(
     """
     element = {"last": 1, "best": 3}[which]
     config = (
-        spark.read.schema("task_specific_params map<string, array<double>>, model int")
+        spark.read.schema(f"task_specific_params map<string, array<double>>, model {model_type}")
         .option("multiLine", True)
         .json(path)
     )

@@ -58,6 +58,18 @@ def test_thresholds_last_or_best(spark):
     assert [r[0] for r in best] == [0.9]
 
 
+def test_named_members(spark):
+    rows = [(m, "a", 0.2, 0.5, 0.9, 0.8, 7) for m in ("large", "small")]
+    states = spark.createDataFrame(rows, "model string, label string, thresh double, f1 double, best_thresh double, best_f1 double, step int")
+    path, scores = scratch_path(spark, "configs"), scratch_path(spark, "members")
+    writers.save_member_thresholds(states, path, SPEC)
+    got = readers.read_member_thresholds(spark, path, SPEC, model_type="string").collect()
+    assert {(r["model"], r["label"], r["thresh"]) for r in got} == {("large", "a", 0.2), ("small", "a", 0.2)}
+    members = spark.createDataFrame([("large", "u", [0.5])], "model string, uid string, vec array<double>")
+    writers.save_member_scores(members, scores)
+    assert readers.read_member_scores(spark, scores, "string").first()["model"] == "large"
+
+
 def test_inference_writes_the_template_order(spark):
     uids = [f"u{i}" for i in (3, 1, 2, 0)]
     template = spark.createDataFrame([(u, 0, 0, 1) for u in uids], "uid string, a int, b int, c int").coalesce(1)

@@ -120,7 +120,7 @@ def test_final_state_is_the_last_row_of_running_best(spark):
     assert (got["thresh"], got["f1"], got["best_thresh"], got["best_f1"], got["step"]) == (0.03, 0.2, 0.02, 0.5, 3)
 
 
-def iou_reference(pred, y, n, empty, ignore):
+def iou_numpy(pred, y, n, empty, ignore):
     out = {}
     for c in range(n):
         if c != ignore:
@@ -136,13 +136,13 @@ def test_iou_per_class_over_groups(spark, ignore):
     groups = [rng.integers(0, 5, (2, n)) for n in (1, 12, 30)]
     rows = [(g, int(a), int(b)) for g, (y, p) in enumerate(groups) for a, b in zip(y, p)]
     df = spark.createDataFrame(rows, "g int, y int, y_hat int")
-    per_group = [iou_reference(p, y, 6, 1.0, ignore) for y, p in groups]
+    per_group = [iou_numpy(p, y, 6, 1.0, ignore) for y, p in groups]
     want = {c: 100 * np.mean([g[c] for g in per_group]) for c in per_group[0]}
     got = {r["class"]: r["iou"] for r in M.iou_classes(df, 6, "g", ignore=ignore).collect()}
     assert got == pytest.approx(want)
     y, p = np.concatenate([g[0] for g in groups]), np.concatenate([g[1] for g in groups])
     whole = {r["class"]: r["iou"] for r in M.iou_classes(df, 6, ignore=ignore).collect()}
-    assert whole == pytest.approx({c: 100 * v for c, v in iou_reference(p, y, 6, 1.0, ignore).items()})
+    assert whole == pytest.approx({c: 100 * v for c, v in iou_numpy(p, y, 6, 1.0, ignore).items()})
 
 
 def test_binary_iou_of_an_empty_union_and_of_an_ignored_label(spark):
