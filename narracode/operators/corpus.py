@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from narracode.functions.numeric import hex_uniform
 from narracode.functions.text import words
-from narracode.session import BROADCAST_ROWS
 
 
 def stack_texts(records: DataFrame) -> DataFrame:
@@ -45,7 +44,7 @@ def mask_tokens(
     nobody = -1 - F.pmod(F.hash("line_id", "_at"), F.lit(4096))
     drawn = drawn.withColumn("_random_id", F.when(F.col("_how") == "random", random_id).otherwise(nobody))
     pool = vocab.select(F.col("term_id").alias("_random_id"), F.col("term").alias("_random"))
-    joined = drawn.join(F.broadcast(pool) if vocab_size <= BROADCAST_ROWS else pool, "_random_id", "left")
+    joined = drawn.join(pool, "_random_id", "left")
     token = (
         F.when(F.col("_how") == "mask", F.lit("[MASK]"))
         .when(F.col("_how") == "random", F.col("_random"))

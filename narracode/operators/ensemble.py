@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from narracode.functions.numeric import argmax, sigmoid, softmax
 from narracode.operators.labels import binarize
-from narracode.session import checked_broadcast
 from narracode.spec import LabelSpec
 
 
@@ -32,7 +31,7 @@ def ensemble_average(
     """Mean score strictly above mean threshold; for categorical labels the class with the
     largest mean score, plus one."""
     mean = binary_scores.groupBy("uid", "label").agg(F.avg("score").alias("score"))
-    joined = mean.join(checked_broadcast(threshold_mean(thresholds), "mean_thresholds"), "label")
+    joined = mean.join(threshold_mean(thresholds), "label")
     out = joined.select("uid", "label", binarize(F.col("score"), F.col("thresh")).alias("y_hat"))
     if class_scores is not None:
         # the mean and the choice share one exchange
@@ -45,7 +44,7 @@ def ensemble_average(
 
 def ensemble_vote(binary_scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Each model votes with its own threshold; more than half must agree, so a tie is 0."""
-    votes = binary_scores.join(checked_broadcast(thresholds, "thresholds"), ["model", "label"])
+    votes = binary_scores.join(thresholds, ["model", "label"])
     ayes = F.count_if(F.col("score") > F.col("thresh"))
     return votes.groupBy("uid", "label").agg((2 * ayes > F.count(F.lit(1))).cast("int").alias("y_hat"))
 

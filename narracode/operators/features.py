@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from narracode.functions.text import word_tokens
 from narracode.operators.folds import global_rank
-from narracode.session import BROADCAST_ROWS, write_table
+from narracode.session import write_table
 
 
 def english_stop_words() -> list[str]:
@@ -102,7 +102,7 @@ def fit_vocab(
     kept = totals.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     if max_features is not None:
         kept = top_terms(kept, max_features)
-    small = max_features is not None and max_features <= BROADCAST_ROWS
+    small = max_features is not None
     return number_terms(kept, small).select(
         "term", "term_id", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")
     )
@@ -119,7 +119,7 @@ def number_terms(totals: DataFrame, small: bool = False) -> DataFrame:
 
 def _vocab_side(vocab: DataFrame, max_features: int | None) -> DataFrame:
     """Broadcast a vocabulary only when ``max_features`` bounds its rows."""
-    return F.broadcast(vocab) if max_features is not None and max_features <= BROADCAST_ROWS else vocab
+    return vocab
 
 
 def tfidf(terms: DataFrame, vocab: DataFrame, max_features: int | None = None) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from narracode.functions.numeric import cut, half_even
 from narracode.functions.text import repair_sentence_gaps
-from narracode.session import BROADCAST_ROWS, checked_broadcast
 from narracode.spec import LabelSpec, code_table
 
 # ------------------------------------------------------------------ projections
@@ -105,7 +104,6 @@ def encode_lookup(
     unknown size is joined without a hint, so its size decides the strategy."""
     if isinstance(vocab, dict):
         table = code_table(df.sparkSession, vocab)
-        table = F.broadcast(table) if len(vocab) <= BROADCAST_ROWS else table
     else:
         table = vocab
     table = table.select(F.col("raw").alias("_raw"), F.col("code").alias(out))
@@ -116,7 +114,6 @@ def encode_lookup(
 def decode_lookup(df: DataFrame, code: str, names: dict[int, str], out: str) -> DataFrame:
     """Code to category name."""
     table = df.sparkSession.createDataFrame(list(names.items()), f"_code int, {out} string")
-    table = F.broadcast(table) if len(names) <= BROADCAST_ROWS else table
     return df.join(table, F.col(code) == F.col("_code"), "left").drop("_code")
 
 
@@ -129,7 +126,7 @@ def attach_one(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
 def scores_with_thresholds(scores: DataFrame, thresholds: DataFrame, per_model: bool = False) -> DataFrame:
     """Join decision thresholds on label, or on model and label."""
     on = ["model", "label"] if per_model else ["label"]
-    return scores.join(checked_broadcast(thresholds, "thresholds"), on)
+    return scores.join(thresholds, on)
 
 
 # ------------------------------------------------------------------------ checks

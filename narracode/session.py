@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A table is broadcast by hint only if it has at most this many rows. The number is known by
-# construction (a driver-side dict, a vocabulary limited by max_features) or counted.
-BROADCAST_ROWS = 500_000
-
-_local_scratch: str | None = None
 
 
 def build_session(app: str = "narracode", cores: str = "*", **conf: str) -> SparkSession:
-    """Local session for tests and benchmarks; on a cluster the submitter sets these."""
+    """Local session for tests and benchmarks; on a cluster the submitter sets these. Its
+    scratch folder lives as long as the process."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -26,30 +22,30 @@ def build_session(app: str = "narracode", cores: str = "*", **conf: str) -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
+    if "spark.checkpoint.dir" not in conf:
+        scratch = tempfile.mkdtemp(prefix="narracode-")
+        atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+        builder = builder.config("spark.checkpoint.dir", scratch)
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local master may go without it: then one temporary folder per process is used.
-    """
-    global _local_scratch
+    """The shared folder named by ``spark.checkpoint.dir``, else the session's warehouse, which
+    is always set and which all executors reach."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="narracode-")
-    return _local_scratch
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all scratch tables of this application."""
+    return f"{shared_dir(spark)}/narracode/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/narracode/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -63,11 +59,8 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of ``df`` only if it is known to have at most ``limit`` rows.
-
-    The table is written first, so its rows are computed once and the count is a look at the
-    files; a larger table is joined without a hint.
-    """
-    table = write_table(df, name)
-    return F.broadcast(table) if table.count() <= limit else table
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application, once its results are written."""
+    jvm, root = spark.sparkContext._jvm, scratch_root(spark)
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
