@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import packing, sharding
+from narracode.llm import packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.place(_table(spark, sf, "documents"))
+
+
+@_query("op6_quality_rules", quality.ORACLE)
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(_table(spark, sf, "documents"))
