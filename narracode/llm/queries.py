@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import packing, quality, sharding
+from narracode.llm import lines, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op6_quality_rules", quality.ORACLE)
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(_table(spark, sf, "documents"))
+
+
+@_query("op9_line_dedup", lines.ORACLE)
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.find_repeats(_table(spark, sf, "documents"))
