@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import lines, packing, quality, sharding
+from narracode.llm import lines, minhash, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op9_line_dedup", lines.ORACLE)
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.find_repeats(_table(spark, sf, "documents"))
+
+
+@_query("op3_minhash")
+def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.find_duplicates(_table(spark, sf, "documents"))
