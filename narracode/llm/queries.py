@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import lines, minhash, packing, quality, sharding
+from narracode.llm import lines, minhash, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op3_minhash")
 def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.find_duplicates(_table(spark, sf, "documents"))
+
+
+@_query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
