@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import lines, minhash, packing, quality, sharding, toxicity
+from narracode.llm import language, lines, minhash, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@_query("op7_language")
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(_table(spark, sf, "documents"))
