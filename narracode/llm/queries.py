@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import language, lines, minhash, packing, quality, sharding, toxicity
+from narracode.llm import language, lines, minhash, packing, personal, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op7_language")
 def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(_table(spark, sf, "documents"))
+
+
+@_query("op8_personal_data")
+def op8_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.find_personal(_table(spark, sf, "documents"))
