@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import packing, quality
+from narracode.llm import lines, minhash, packing, personal, quality
 from narracode.llm.queries import byte_bpe
 from narracode.session import write_table
 
@@ -14,6 +14,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line, up to two edits, go; so do documents left empty."""
+    return lines.drop_repeats(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates stays."""
+    return minhash.drop_duplicates(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by marks."""
+    return personal.mask_personal(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the remaining documents and their places in training sequences."""
     return packing.pack(docs, byte_bpe())
@@ -21,6 +36,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
     ("packing", pack_sequences),
 ]
 
