@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import language, lines, minhash, packing, personal, quality, sharding, toxicity
+from narracode.llm import embeddings, language, lines, minhash, packing, personal, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op8_personal_data")
 def op8_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal.find_personal(_table(spark, sf, "documents"))
+
+
+@_query("op1_embedding_dedup")
+def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.link_vectors(_table(spark, sf, "embeddings"))
