@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import embeddings, language, lines, minhash, packing, personal, quality, sharding, toxicity
+from narracode.llm import embeddings, language, lines, minhash, packing, personal, pieces, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,15 @@ def op8_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op1_embedding_dedup")
 def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.link_vectors(_table(spark, sf, "embeddings"))
+
+
+def piece_bpe() -> str:
+    """The file of the public piece vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf, "documents"), piece_bpe())
