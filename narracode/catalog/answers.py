@@ -109,7 +109,7 @@ def clean_answer(spark, sf):
     return raws.select("conv_id", "turn", A.clean_answer(F.col("raw"), F.col("idx")).alias("answer"))
 
 
-_split = r"'\r\n|[\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]'"
+_split = r"'\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'"
 _parsed = {
     "lines": f"SELECT uid, response, list_filter(regexp_split_to_array(response, {_split}), lambda x: x <> '') AS l FROM responses",
     "fields": r"SELECT uid, response, list_transform(l, lambda x: regexp_replace(string_split(x, ':')[-1], '^\s+|\s+$', '', 'g')) AS a FROM lines",

@@ -44,12 +44,15 @@ def scalar_f03(spark, sf):
     "scalar_f04",
     t.with_tables(
         "SELECT uid, len(l) AS n, l[1] AS head FROM (SELECT uid, list_filter(regexp_split_to_array(text, "
-        r"'\r\n|[\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]'), lambda x: x <> '') AS l FROM docs)",
+        r"'\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'), lambda x: x <> '') AS l FROM "
+        "(SELECT uid, replace(replace(text, ' der ', chr(28)), ' the ', chr(30)) AS text FROM docs))",
         "docs",
     ),
 )
 def scalar_f04(spark, sf):
-    lines = X.nonempty_lines(F.col("text"))
+    """Line ends of any kind, the separators of files and records among them."""
+    text = F.replace(F.replace("text", F.lit(" der "), F.lit("\x1c")), F.lit(" the "), F.lit("\x1e"))
+    lines = X.nonempty_lines(text)
     return t.docs(spark, sf).select("uid", F.size(lines).cast("bigint").alias("n"), F.get(lines, F.lit(0)).alias("head"))
 
 

@@ -17,17 +17,23 @@ def repair_sentence_gaps(text: Column) -> Column:
     return F.regexp_replace(text, r"\.([a-zA-Z])", ". $1")
 
 
+# White space of any script, and the four separators from U+001C to U+001F.
+SPACE = r"[\s\x1C-\x1F]"
+# Line ends: those of any script, and the separators of files, groups and records.
+LINE_END = r"\R|[\x1C-\x1E]"
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.regexp_replace(text, rf"(?U){SPACE}+$", "")
 
 
 def nonempty_lines(text: Column) -> Column:
-    return F.filter(F.split(text, r"\R"), lambda line: line != "")
+    return F.filter(F.split(text, LINE_END), lambda line: line != "")
 
 
 def last_field(line: Column, sep: str = ":") -> Column:

@@ -40,11 +40,12 @@ def mask_tokens(
     drawn = keyed.withColumn(
         "_how", F.when(pick < p, F.when(how < 0.8, "mask").when(how < 0.9, "random").otherwise("keep"))
     )
-    # most tokens need no word: their key is spread over negative ids that match nothing
-    nobody = -1 - F.pmod(F.hash("line_id", "_at"), F.lit(4096))
-    drawn = drawn.withColumn("_random_id", F.when(F.col("_how") == "random", random_id).otherwise(nobody))
+    # only the tokens that become another word are joined; the others do not move
+    is_random = F.coalesce(F.col("_how") == "random", F.lit(False))
     pool = vocab.select(F.col("term_id").alias("_random_id"), F.col("term").alias("_random"))
-    joined = drawn.join(pool, "_random_id", "left")
+    replaced = drawn.filter(is_random).withColumn("_random_id", random_id).join(pool, "_random_id", "left")
+    others = drawn.filter(~is_random).withColumn("_random", F.lit(None).cast("string"))
+    joined = others.unionByName(replaced.drop("_random_id"))
     token = (
         F.when(F.col("_how") == "mask", F.lit("[MASK]"))
         .when(F.col("_how") == "random", F.col("_random"))

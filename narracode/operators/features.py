@@ -1,8 +1,8 @@
 """Word and character n-gram features.
 
-A record's n-grams are many times larger than its text. The text is therefore moved once, by
-record key, and everything per record (term counts, weights, norms, vectors) happens on that
-partitioning. Only term totals are shuffled by term, after map-side sums.
+A record's n-grams are many times larger than its text, so the text is moved by record key and
+counted on that partitioning. Each kind of n-gram moves it once to fit a vocabulary and once to
+apply it; term totals are shuffled by term, after map-side sums.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from narracode.functions.text import word_tokens
-from narracode.operators.folds import global_rank
-from narracode.session import write_table
+from narracode.session import scratch_path, write_table
 
 
 def english_stop_words() -> list[str]:
@@ -25,10 +25,8 @@ def english_stop_words() -> list[str]:
 
 
 def by_record(docs: DataFrame) -> DataFrame:
-    """The texts, hash-partitioned by record. The partition count is given, as rows grow by a
-    large factor behind this exchange and partitions must not be merged by their text size."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("uid", "text").repartition(parts, "uid")
+    """The texts, hash-partitioned by record; how many partitions there are follows their bytes."""
+    return docs.select("uid", "text").repartition("uid")
 
 
 def word_terms(docs: DataFrame, low: int = 1, high: int = 3, stop_words: list[str] | None = None) -> DataFrame:
@@ -102,52 +100,80 @@ def fit_vocab(
     kept = totals.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     if max_features is not None:
         kept = top_terms(kept, max_features)
-    small = max_features is not None
-    return number_terms(kept, small).select(
+    return number_terms(kept).select(
         "term", "term_id", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")
     )
 
 
-def number_terms(totals: DataFrame, small: bool = False) -> DataFrame:
-    """Dense ids in term order. A limited vocabulary is counted at once; one of any size is
-    ranked inside ranges of terms with the same first four characters."""
-    if small:
-        return totals.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
-    ranked = global_rank(totals, F.col("term"), coarse=F.substring("term", 1, 2), digits=4)
-    return ranked.withColumn("term_id", F.col("rank").cast("int")).drop("rank", "n")
-
-
-def _vocab_side(vocab: DataFrame, max_features: int | None) -> DataFrame:
-    """Broadcast a vocabulary only when ``max_features`` bounds its rows."""
-    return vocab
-
-
-def tfidf(terms: DataFrame, vocab: DataFrame, max_features: int | None = None) -> DataFrame:
-    """``uid, term_id, w``: ``(1 + ln tf) · idf`` scaled to length one per record."""
-    side = _vocab_side(vocab.select("term", "term_id", "idf"), max_features)
-    raw = terms.join(side, "term").select("uid", "term_id", ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("uid")))
-    return raw.select("uid", "term_id", (F.col("_w") / norm).alias("w"))
-
-
-def to_vector(weights: DataFrame, dim: int, docs: DataFrame | None = None, name: str = "features") -> DataFrame:
-    """Long weights to a sparse vector per record. Records of ``docs`` without any known term
-    get the zero vector."""
-    # a record has at most one entry per vocabulary term
-    packed = weights.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("term_id", "w"))).alias("_e"))
+def number_terms(totals: DataFrame) -> DataFrame:
+    """Dense ids in term order. Terms are dealt over ranges whose limits Spark samples, so a
+    frequent beginning is cut like any other; the ranges are written, numbered inside, and
+    shifted by the sizes of the ranges before."""
+    ranged = totals.repartitionByRange("term").withColumn("_range", F.spark_partition_id())
+    ranged = write_table(ranged, "term_ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("term")) - 1
+    numbered = ranged.withColumn("_place", place).join(starts, "_range")
+    return numbered.withColumn("term_id", (F.col("_start") + F.col("_place")).cast("int")).drop("_range", "_start", "_place")
+
+
+def packed_weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``uid, entries`` with the known terms of each record as ``(term_id, w)`` in id order:
+    ``(1 + ln tf) · idf`` scaled to length one. The terms of a record are put together by one
+    aggregation, and the length is taken from its array."""
+    raw = terms.join(vocab.select("term", "term_id", "idf"), "term")
+    weight = (1 + F.log("tf")) * F.col("idf")
+    packed = raw.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("term_id", weight.alias("w")))).alias("_e"))
+    squares = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
+    packed = packed.withColumn("_norm", F.sqrt(squares))
+    scaled = F.transform("_e", lambda x: F.struct(x["term_id"].alias("term_id"), (x["w"] / F.col("_norm")).alias("w")))
+    return packed.select("uid", scaled.alias("entries"))
+
+
+def tfidf(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``uid, term_id, w`` of ``packed_weights``, one row per record and term."""
+    return packed_weights(terms, vocab).select("uid", F.inline("entries"))
+
+
+def to_vector(packed: DataFrame, dim: int, docs: DataFrame | None = None, name: str = "features") -> DataFrame:
+    """``uid`` and a sparse vector from ``uid, entries``. Records of ``docs`` without any known
+    term get the zero vector.
+
+    The vector is built as the struct by which Spark stores vectors, written, and read back
+    with the vector type, so no record passes through Python.
+    """
     if docs is not None:
         packed = docs.select("uid").join(packed, "uid", "left")
+    entries = F.coalesce("entries", F.expr("cast(array() as array<struct<term_id:int,w:double>>)"))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(dim).alias("size"),
+        F.transform(entries, lambda x: x["term_id"].cast("int")).alias("indices"),
+        F.transform(entries, lambda x: x["w"]).alias("values"),
+    )
+    path = scratch_path(packed.sparkSession, name)
+    packed.select("uid", vector.alias(name)).write.parquet(path)
+    schema = StructType([packed.schema["uid"], StructField(name, VectorUDT())])
+    return packed.sparkSession.read.schema(schema).parquet(path)
 
-    @F.udf(VectorUDT())
-    def sparse(ids, values):
-        return SparseVector(dim, ids or [], values or [])
 
-    return packed.select("uid", sparse(F.col("_e.term_id"), F.col("_e.w")).alias(name))
+def required(value: Column, name: str) -> Column:
+    """The value, or a failed job that names the record and what it lacks."""
+    missing = F.raise_error(F.concat(F.lit(f"no {name} for record "), F.coalesce(F.col("uid").cast("string"), F.lit("null"))))
+    return F.coalesce(value, missing.cast("double"))
 
 
 def stack_features(*blocks: DataFrame) -> DataFrame:
-    """Put feature blocks side by side by record key, not by row position."""
-    return reduce(lambda a, b: a.join(b, "uid"), blocks)
+    """Put feature blocks side by side by record key, not by row position. The records are
+    those of the first block; one that another block lacks fails the job."""
+
+    def put(left: DataFrame, right: DataFrame) -> DataFrame:
+        joined = left.join(right.withColumn("_there", F.lit(1.0)), "uid", "left")
+        return joined.filter(required(F.col("_there"), "feature block") > 0).drop("_there")
+
+    return reduce(put, blocks)
 
 
 def fit_corpus(*parts: DataFrame) -> DataFrame:

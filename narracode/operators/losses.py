@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,20 +137,14 @@ def lovasz_by_group(
     """``Σ relu(error) · Jaccard step`` per group over long rows ``(group, error, positive)``;
     also ``positives``.
 
-    Range limits are quantiles of the errors. They only balance the ranges: the result is the
-    same for any limits.
+    Range limits are quantiles of the errors, taken by a sketch inside the plan. They only
+    balance the ranges: the result is the same for any limits.
     """
     by = list(by)
     blocks = df.groupBy(*by, error).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(positive).cast("bigint")).alias("_p")
     )
-    probabilities = [i / ranges for i in range(1, ranges)]
-    limits = sorted(set(df.approxQuantile(error, probabilities, 0.25 / ranges))) if probabilities else []
-    splits = [float("-inf"), *limits, float("inf")]
-    if len(splits) < 3:
-        blocks = blocks.withColumn("_range", F.lit(0.0))
-    else:
-        blocks = Bucketizer(splits=splits, inputCol=error, outputCol="_range").transform(blocks)
+    blocks = _in_ranges(df, blocks, error, ranges)
     down = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     sums = blocks.groupBy(*by, "_range").agg(F.sum("_n").alias("_rn"), F.sum("_p").alias("_rp"))
     zero = F.lit(0).cast("bigint")
@@ -178,6 +171,22 @@ def lovasz_by_group(
     )
 
 
+def _in_ranges(df: DataFrame, blocks: DataFrame, error: str, ranges: int) -> DataFrame:
+    """Add ``_range``, the number of limits at or below the error, found in two steps of about
+    the square root of their number each."""
+    if ranges < 2:
+        return blocks.withColumn("_range", F.lit(0))
+    probabilities = [i / ranges for i in range(1, ranges)]
+    sketch = df.agg(F.percentile_approx(error, probabilities, 4 * ranges).alias("_limits")).scalar()
+    width = max(2, round(ranges**0.5))
+    named = blocks.withColumn("_limits", sketch)
+    every = F.filter("_limits", lambda x, i: i % width == width - 1)
+    named = named.withColumn("_coarse", F.size(F.filter(every, lambda x: x <= F.col(error))))
+    piece = F.slice("_limits", F.col("_coarse") * width + 1, F.lit(width))
+    fine = F.size(F.filter(piece, lambda x: x <= F.col(error)))
+    return named.withColumn("_range", F.col("_coarse") * width + fine).drop("_limits", "_coarse")
+
+
 def lovasz_hinge_flat(df: DataFrame, x: str = "x", y: str = "y", ignore: int | None = None) -> DataFrame:
     """Hinge over all rows ``(x, y)`` of a table as one group."""
     rows = df if ignore is None else drop_ignored(df, ignore, y)
@@ -195,7 +204,8 @@ def lovasz_softmax(
     ignore: int | None = None,
 ) -> DataFrame:
     """Mean over classes of the Lovász extension of ``|1[y = c] - p_c|``, for the whole table
-    or as a mean over groups."""
+    or as a mean over groups. A group that has only void rows, or no class present, counts as
+    0."""
     rows = df if ignore is None else drop_ignored(df, ignore, y)
     by = [group] if group else []
     long = rows.select(*by, F.col(y).alias("_y"), F.posexplode(prob).alias("class", "_prob"))
@@ -205,6 +215,10 @@ def lovasz_softmax(
     if only_present:
         per_class = per_class.filter(F.col("positives") > 0)
     per_group = per_class.groupBy(*by).agg(F.avg("loss").alias("loss"))
+    if group:
+        # groups that lost all their rows on the way
+        every = df.select(group).distinct().withColumn("_zero", F.lit(0.0))
+        per_group = every.join(per_group, group, "left").select(F.coalesce("loss", "_zero").alias("loss"))
     return per_group.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
 
 

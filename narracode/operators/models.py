@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narracode.operators.features import char_terms, fit_vocab, tfidf, to_vector, word_terms
+from narracode.operators.features import char_terms, fit_vocab, packed_weights, required, to_vector, word_terms
 from narracode.operators.folds import stratified_kfold
 from narracode.operators.labels import binarize, to_long
 from narracode.operators.metrics import f1_variable_average
@@ -44,17 +44,23 @@ def linear(kind: str, alpha: float = 1e-4, max_iter: int = 100, features: str =
 
 
 def boosted(
-    kind: str, trees: int = 100, depth: int = 5, step: float = 0.1, select: int = 2_000, seed: int = 314159
+    kind: str, trees: int = 100, depth: int = 5, step: float = 0.1, select: int | None = None, seed: int = 314159
 ) -> Pipeline:
-    """Boosted trees behind a univariate selection of ``select`` features (trees hold dense
-    histograms per feature); one-vs-rest for categorical labels."""
+    """Boosted trees on all features; one-vs-rest for categorical labels. Trees keep a dense
+    row of bins per record and dense histograms per feature, so memory grows with records times
+    features. ``select`` puts a univariate selection (analysis of variance) in front of them."""
+    column = "features" if select is None else "selected"
+    trees_model = GBTClassifier(featuresCol=column, labelCol="y", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed)
+    last = (
+        trees_model
+        if kind == "binary"
+        else OneVsRest(classifier=trees_model, featuresCol=column, labelCol="y", parallelism=4)
+    )
+    if select is None:
+        return Pipeline(stages=[last])
     selector = UnivariateFeatureSelector(
         featuresCol="features", labelCol="y", outputCol="selected", selectionMode="numTopFeatures"
     ).setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(select)
-    trees_model = GBTClassifier(
-        featuresCol="selected", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed
-    )
-    last = trees_model if kind == "binary" else OneVsRest(classifier=trees_model, featuresCol="selected", labelCol="y")
     return Pipeline(stages=[selector, last])
 
 
@@ -88,17 +94,20 @@ def cross_val_predict(df: DataFrame, estimator, kind: str, folds: int, paralleli
 
 
 def chain_feature(df: DataFrame, score_df: DataFrame) -> DataFrame:
-    """Append another label's score to the feature vector, by record key."""
-    joined = df.withColumnRenamed("features", "_base").join(
-        score_df.select("uid", F.col("score").alias("_chained")), "uid"
-    )
+    """Append another label's score to the feature vector, by record key. A record without a
+    score fails the job."""
+    scored = score_df.select("uid", F.col("score").alias("_chained"))
+    joined = df.withColumnRenamed("features", "_base").join(scored, "uid", "left")
+    joined = joined.withColumn("_chained", required(F.col("_chained"), "score"))
     assembled = VectorAssembler(inputCols=["_base", "_chained"], outputCol="features").transform(joined)
     return assembled.drop("_base", "_chained")
 
 
 def append_scores(df: DataFrame, external: DataFrame, cols: list[str]) -> DataFrame:
-    """Append another model's label outputs to the feature vector, by record key."""
-    joined = df.withColumnRenamed("features", "_base").join(external.select("uid", *cols), "uid")
+    """Append another model's label outputs to the feature vector, by record key. A record
+    without them fails the job."""
+    joined = df.withColumnRenamed("features", "_base").join(external.select("uid", *cols), "uid", "left")
+    joined = joined.withColumns({c: required(F.col(c), c) for c in cols})
     assembled = VectorAssembler(inputCols=["_base", *cols], outputCol="features").transform(joined)
     return assembled.drop("_base", *[c for c in cols if c not in df.columns])
 
@@ -155,13 +164,22 @@ class TextFeatures:
         word, char = spark.read.parquet(f"{path}/word_vocab"), spark.read.parquet(f"{path}/char_vocab")
         return cls(options, word, char, word.count(), char.count())
 
+    def entries(self, docs: DataFrame) -> DataFrame:
+        """``uid, entries``: both weight blocks of the records with known terms, characters
+        after words."""
+        word = packed_weights(self.options.words(docs), self.word_vocab)
+        char = packed_weights(self.options.chars(docs), self.char_vocab)
+        none = F.expr("cast(array() as array<struct<term_id:int,w:double>>)")
+        shifted = F.transform(
+            F.coalesce("_char", none),
+            lambda x: F.struct((x["term_id"] + self.n_word).alias("term_id"), x["w"].alias("w")),
+        )
+        both = word.withColumnRenamed("entries", "_word").join(char.withColumnRenamed("entries", "_char"), "uid", "full")
+        return both.select("uid", F.concat(F.coalesce("_word", none), shifted).alias("entries"))
+
     def transform(self, docs: DataFrame) -> DataFrame:
-        """``uid, features``: both weight blocks in one sparse vector, characters after words."""
-        limit = self.options.max_features
-        word = tfidf(self.options.words(docs), self.word_vocab, limit)
-        char = tfidf(self.options.chars(docs), self.char_vocab, limit)
-        both = word.unionByName(char.withColumn("term_id", F.col("term_id") + self.n_word))
-        return to_vector(both, self.n_word + self.n_char, docs)
+        """``uid, features``: the entries of every record as one sparse vector."""
+        return to_vector(self.entries(docs), self.n_word + self.n_char, docs)
 
 
 # --------------------------------------------------------------- whole protocol

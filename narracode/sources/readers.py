@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narracode.functions.text import tokens_to_null
@@ -21,10 +21,10 @@ def _csv(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataF
     )
 
 
-def read_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """``uid, narrative_le, narrative_cme`` from quoted CSV; spellings of a missing value
-    become null. Quoted line breaks need ``multi_line``, which reads each file in one task, so
-    large inputs come as many files."""
+    become null. Files are split over tasks; quoted line breaks need ``multi_line``, which
+    reads each file in one task."""
     raw = _csv(spark, path, RECORD_SCHEMA, multi_line)
     return raw.select(
         "uid",
@@ -79,23 +79,44 @@ def read_member_scores(spark: SparkSession, path: str, model_type: str = "int")
 def read_member_thresholds(
     spark: SparkSession, path: str, spec: LabelSpec = CODING_SPEC, which: str = "last", model_type: str = "int"
 ) -> DataFrame:
-    """``model, label, thresh`` from each member's JSON configuration.
+    """``model, label, thresh`` of the binary labels from each member's JSON configuration.
+    ``which`` takes the threshold of the last evaluation or the best one."""
+    states = read_member_states(spark, path, spec, model_type).filter(F.col("kind") == "binary")
+    return states.select("model", "label", F.col({"last": "thresh", "best": "best_thresh"}[which]).alias("thresh"))
 
-    The entry of binary label *i* is ``eval_zthresh_<i>``: ``[thresh, score, best thresh,
-    best score, step]``. ``which`` takes the threshold of the last evaluation or the best one.
+
+def read_member_states(
+    spark: SparkSession, path: str, spec: LabelSpec = CODING_SPEC, model_type: str = "int"
+) -> DataFrame:
+    """``model, label, kind, thresh, f1, best_thresh, best_f1, step`` from each member's JSON
+    configuration.
+
+    Entry ``eval_zthresh_<i>`` belongs to column *i* of the specification: ``[thresh, score,
+    best thresh, best score, step]`` of a binary label, ``[score, best score, step]`` of a
+    categorical one, which has no thresholds.
     """
-    element = {"last": 1, "best": 3}[which]
     config = (
         spark.read.schema(f"task_specific_params map<string, array<double>>, model {model_type}")
         .option("multiLine", True)
         .json(path)
     )
-    state = config.select("model", F.explode("task_specific_params").alias("key", "state"))
+    state = config.select("model", F.explode("task_specific_params").alias("key", "_s"))
     index = F.regexp_extract("key", r"^eval_zthresh_(\d+)$", 1)
-    names = F.array(*[F.lit(name) for name in spec.binary])
-    binary = state.withColumn("_idx", F.when(index != "", index.cast("int"))).filter(
-        F.col("_idx") < len(spec.binary)
-    )
-    return binary.select(
-        "model", F.get(names, F.col("_idx")).alias("label"), F.element_at("state", element).alias("thresh")
+    names = F.array(*[F.lit(name) for name in spec.columns])
+    known = state.withColumn("_idx", F.when(index != "", index.cast("int"))).filter(F.col("_idx") < len(spec.columns))
+    binary = F.col("_idx") < len(spec.binary)
+
+    def element(of_binary: int, of_categorical: int | None) -> Column:
+        other = F.lit(None).cast("double") if of_categorical is None else F.get("_s", F.lit(of_categorical))
+        return F.when(binary, F.get("_s", F.lit(of_binary))).otherwise(other)
+
+    return known.select(
+        "model",
+        F.get(names, F.col("_idx")).alias("label"),
+        F.when(binary, "binary").otherwise("categorical").alias("kind"),
+        element(0, None).alias("thresh"),
+        element(1, 0).alias("f1"),
+        element(2, None).alias("best_thresh"),
+        element(3, 1).alias("best_f1"),
+        element(4, 2).cast("bigint").alias("step"),
     )

@@ -41,10 +41,15 @@ def save_member_scores(members: DataFrame, path: str) -> None:
 
 def save_member_thresholds(states: DataFrame, path: str, spec: LabelSpec) -> None:
     """One JSON object per member from ``model, label, thresh, f1, best_thresh, best_f1,
-    step``; a member has one row per label."""
-    names = F.array(*[F.lit(name) for name in spec.binary])
-    key = numbered_key("eval_zthresh_", (F.array_position(names, F.col("label")) - 1).cast("int"))
-    state = F.array("thresh", "f1", "best_thresh", "best_f1", F.col("step").cast("double"))
+    step``; a member has one row per label. Entries are numbered by the columns of ``spec``; a
+    categorical label has no thresholds and three numbers."""
+    names = F.array(*[F.lit(name) for name in spec.columns])
+    place = (F.array_position(names, F.col("label")) - 1).cast("int")
+    key = numbered_key("eval_zthresh_", place)
+    step = F.col("step").cast("double")
+    state = F.when(place < len(spec.binary), F.array("thresh", "f1", "best_thresh", "best_f1", step)).otherwise(
+        F.array("f1", "best_f1", step)
+    )
     packed = states.groupBy("model").agg(
         F.map_from_entries(F.collect_list(F.struct(key, state))).alias("task_specific_params")
     )

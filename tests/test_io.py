@@ -23,7 +23,7 @@ ROOT = Path(__file__).resolve().parent.parent
 def test_records_with_missing_values_quotes_and_line_breaks(spark, tmp_path):
     path = tmp_path / "records.csv"
     path.write_text('uid,NarrativeLE,NarrativeCME\n1,"a ""quoted"", one\nnext",x\n2,NA,\n3,nan,"  kept  "\n')
-    got = {r["uid"]: (r["narrative_le"], r["narrative_cme"]) for r in readers.read_records(spark, str(path)).collect()}
+    got = {r["uid"]: (r["narrative_le"], r["narrative_cme"]) for r in readers.read_records(spark, str(path, multi_line=True)).collect()}
     assert got == {"1": ('a "quoted", one\nnext', "x"), "2": (None, None), "3": (None, "  kept  ")}
 
 
@@ -58,6 +58,22 @@ def test_thresholds_last_or_best(spark):
     assert [r[0] for r in best] == [0.9]
 
 
+def test_member_state_of_all_labels(spark):
+    """Five numbers per binary label and three per categorical one, back as they were."""
+    rows = []
+    for m in range(5):
+        for i, c in enumerate(SPEC.columns):
+            t = 0.1 * m + 0.01 * i if c in SPEC.binary else None
+            rows.append((m, c, t, 0.5 + 0.01 * i, t, 0.6 + 0.01 * i, 7 + m))
+    columns = "model int, label string, thresh double, f1 double, best_thresh double, best_f1 double, step bigint"
+    path = scratch_path(spark, "configs")
+    writers.save_member_thresholds(spark.createDataFrame(rows, columns), path, SPEC)
+    back = readers.read_member_states(spark, path, SPEC)
+    got = {tuple(r) for r in back.select("model", "label", "thresh", "f1", "best_thresh", "best_f1", "step").collect()}
+    assert got == set(rows)
+    assert back.filter("kind = 'categorical'").count() == 5 * (len(SPEC.columns) - len(SPEC.binary))
+
+
 def test_named_members(spark):
     rows = [(m, "a", 0.2, 0.5, 0.9, 0.8, 7) for m in ("large", "small")]
     states = spark.createDataFrame(rows, "model string, label string, thresh double, f1 double, best_thresh double, best_f1 double, step int")
@@ -123,7 +139,7 @@ def test_shared_folder_is_the_named_one(tmp_path):
         "print('AT', scratch_path(spark, 'x'))\n"
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
-    assert f"AT {tmp_path}/narracode/x-" in done.stdout
+    assert f"AT {tmp_path}/narracode/" in done.stdout and "/x-" in done.stdout
 
 
 def test_scratch_paths_are_new(spark):

@@ -151,3 +151,12 @@ def test_tie_order_does_not_matter(spark):
     )
     got = df.select(L.record_hinge(F.col("x"), F.col("y"))).collect()
     assert got[0][0] == pytest.approx(got[1][0])
+
+
+def test_void_groups_count_as_zero(spark):
+    rows = [("a", [0.7, 0.3], 0), ("b", [0.5, 0.5], 255)]
+    df = spark.createDataFrame(rows, "g string, prob array<double>, y int")
+    alone = L.lovasz_softmax(df.filter("g = 'a'"), group="g", ignore=255).first()["loss"]
+    assert L.lovasz_softmax(df, group="g", ignore=255).first()["loss"] == pytest.approx(alone / 2)
+    only = L.lovasz_softmax(df.withColumn("y", F.lit(7)), group="g", only_present=True)
+    assert only.first()["loss"] == 0.0

@@ -199,3 +199,14 @@ def test_records_to_codes(spark, labelled):
     got = code_records(records, train, zeros, always).collect()
     assert len(got) == 120
     assert all(r["Argument"] == 1 and r["InjuryLocationType"] == 6 and r["WeaponType1"] == 5 for r in got)
+
+
+def test_records_without_scores_fail(spark):
+
+    from narracode.operators.features import stack_features
+
+    x = spark.createDataFrame([("a", Vectors.dense([1.0])), ("b", Vectors.dense([2.0]))], ["uid", "features"])
+    external = spark.createDataFrame([("a", 0.5)], "uid string, s double")
+    for df in (M.append_scores(x, external, ["s"]), M.chain_feature(x, external.withColumnRenamed("s", "score")), stack_features(x, external)):
+        with pytest.raises(Exception, match="record b"):
+            df.collect()

@@ -19,7 +19,7 @@ from narracode.operators.thresholds import running_best, threshold_search
 from narracode.spec import CODING_SPEC
 
 # queries that run a Python hook or build vectors
-PYTHON = {"answer_batches", "code_records", "score_batches", "to_vector", "stack_features", "append_scores"}
+PYTHON = {"answer_batches", "code_records", "score_batches"}
 # queries that fit models when they are built are covered in test_models
 FITS = {"fit_linear", "fit_boosted", "cross_val_predict", "chain_feature", "fit_predict_all", "train_with_external", "mixed_registry"}
 
@@ -47,10 +47,10 @@ def test_losses_per_record_move_no_rows(spark, sf):
 
 
 def test_term_weights_use_one_exchange_of_the_texts(spark, sf):
-    vocab = spark.createDataFrame([("the", 0, 1.0)], "term string, term_id int, idf double")
-    weights = V.tfidf(V.char_terms(t.docs(spark, sf)), vocab, max_features=1)
-    assert exchanges(weights) == ["hashpartitioning"]
-    assert "BroadcastHashJoin" in plan(weights)
+    vocab = spark.sql("SELECT 'the' AS term, 0 AS term_id, 1.0D AS idf")
+    weights = V.packed_weights(V.char_terms(t.docs(spark, sf)), vocab)
+    assert "Window" not in plan(weights) and "Python" not in plan(weights)
+    assert plan(weights).count("Exchange hashpartitioning(uid") == 1
 
 
 def test_vocabulary_without_a_limit_is_not_hinted(spark, sf):

@@ -92,7 +92,7 @@ def test_vocabulary_and_weights(spark, limit):
     vocab = V.fit_vocab(terms, 5, 1, 0.9, limit)
     assert {r["term"]: r["term_id"] for r in vocab.collect()} == ids
     assert {r["term"]: r["idf"] for r in vocab.collect()} == pytest.approx(idf)
-    weights = V.tfidf(terms, vocab, limit)
+    weights = V.packed_weights(terms, vocab)
     vectors = {r["uid"]: r["features"].toArray() for r in V.to_vector(weights, len(ids), docs(spark)).collect()}
     for uid, counts in tf.items():
         want = np.zeros(len(ids))
