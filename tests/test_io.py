@@ -23,7 +23,7 @@ ROOT = Path(__file__).resolve().parent.parent
 def test_records_with_missing_values_quotes_and_line_breaks(spark, tmp_path):
     path = tmp_path / "records.csv"
     path.write_text('uid,NarrativeLE,NarrativeCME\n1,"a ""quoted"", one\nnext",x\n2,NA,\n3,nan,"  kept  "\n')
-    got = {r["uid"]: (r["narrative_le"], r["narrative_cme"]) for r in readers.read_records(spark, str(path, multi_line=True)).collect()}
+    got = {r["uid"]: (r["narrative_le"], r["narrative_cme"]) for r in readers.read_records(spark, str(path), multi_line=True).collect()}
     assert got == {"1": ('a "quoted", one\nnext', "x"), "2": (None, None), "3": (None, "  kept  ")}
 
 
