@@ -26,6 +26,8 @@ EDITS = 2
 #: Shorter lines are left alone: headings and single words repeat for good reasons.
 MIN_CHARS = 24
 WORD = r"[^\x20\x09-\x0D]"
+#: Numbers of lines, of eight bytes each, that are broadcast if a count of them shows no more.
+BROADCAST_IDS = 1_000_000
 
 
 def eligible_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -37,35 +39,36 @@ def eligible_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def _segment(i: int, edits: int, length: Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment ``i`` (from 0) of a line of ``length``."""
+
     def cut(n: int) -> Column:
-        return F.floor(length * n / (edits + 1)).cast("int")
+        return F.call_function("div", length * n, F.lit(edits + 1)).cast("int")
 
     return cut(i) + 1, cut(i + 1) - cut(i)
 
 
-def _keys(line: Column, edits: int, probes: bool) -> Column:
-    """Array of ``(key, indexed)``: the line's own segments, and with ``probes`` the substrings
-    that may meet segments of lines up to ``edits`` shorter."""
-    size = F.length(line)
+def _keys(edits: int) -> Column:
+    """Array of keys of the line in ``_b`` (four bytes per character) with ``_n`` characters:
+    its own segments, marked by a set low bit, and the substrings that may meet segments of
+    lines up to ``edits`` shorter."""
     found = []
-    for gap in range(edits + 1 if probes else 1):
-        length = size - gap
+    for gap in range(edits + 1):
+        length = F.col("_n") - gap
         for i in range(edits + 1):
             start, n = _segment(i, edits, length)
             # an edit before the segment moves it by one, and so does one after it
             low = max(-i, gap - (edits - i))
             high = min(i, gap + (edits - i))
-            for shift in range(low, high + 1) if probes else [0]:
+            for shift in range(low, high + 1):
                 own = gap == 0 and shift == 0
-                at = start + shift
-                key = F.xxhash64(F.lit(i), length, line.substr(at, n))
-                inside = (at >= 1) & (at + n - 1 <= size)
-                found.append(F.when(inside, F.struct(key.alias("key"), F.lit(own).alias("own"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+                piece = F.substring("_b", (start - 1 + shift) * 4 + 1, n * 4)
+                # MIN_CHARS keeps every probe inside the line
+                found.append(F.struct(F.xxhash64(F.lit(i), length, piece).alias("key"), F.lit(int(own)).alias("own")))
+    return F.array(*found)
 
 
 def _parity(line: Column) -> Column:
     """64 bits: for each class of characters, whether their number is odd."""
+
     def bit(c: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
 
@@ -83,59 +86,71 @@ def edit_distance(a: str, b: str, edits: int) -> Column:
     """
     top = 2 * edits
     mask = (1 << (top + 1)) - 1
-    ca, cb = f"split({a}, '')", f"split({b}, '')"
     match = " | ".join(
-        f"if(coalesce(get(s.a, i + {d - edits}) = get(s.b, i), false), {1 << d}L, 0L)" for d in range(top + 1)
+        f"if(coalesce(get(z.a, i + {d - edits}) = get(z.b, i), false), {1 << d}L, 0L)" for d in range(top + 1)
     )
     zero = f"((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & {mask}L"
     hp = f"((s.vn | ~(d | s.vp)) & {mask}L)"
     hn = "(d & s.vp)"
-    along = f"(i - (length({a}) - {edits}))"
+    along = f"(i - (size(z.a) - {edits}))"
     last = f"shiftright({1 << top}L, {along} + 1)"
     dist = f"""case when {along} < 0 then s.n + if(d & {1 << top}L = 0, 1, 0)
         else s.n + if(p & {last} != 0, 1, 0) - if(m & {last} != 0, 1, 0) end"""
-    after = f"""named_struct('vp', (m | ~(shiftright(d, 1) | p)) & {mask}L, 'vn', shiftright(d, 1) & p,
-        'n', {dist}, 'a', s.a, 'b', s.b)"""
+    after = f"named_struct('vp', (m | ~(shiftright(d, 1) | p)) & {mask}L, 'vn', shiftright(d, 1) & p, 'n', {dist})"
     # one-element arrays name the values that are used again
-    step = f"get(transform(array({match}), x -> get(transform(array({zero}), d -> get(transform(array({hp}), p -> get(transform(array({hn}), m -> {after}), 0)), 0)), 0)), 0)"
-    start = f"named_struct('vp', {mask ^ ((1 << edits) - 1)}L, 'vn', 0L, 'n', {edits}, 'a', {ca}, 'b', {cb})"
-    return F.expr(f"aggregate(sequence(0, length({b}) - 1), {start}, (s, i) -> {step}, s -> s.n)")
+    step = after
+    for name, value in (("m", hn), ("p", hp), ("d", zero), ("x", match)):
+        step = f"get(transform(array({value}), {name} -> {step}), 0)"
+    start = f"named_struct('vp', {mask ^ ((1 << edits) - 1)}L, 'vn', 0L, 'n', {edits})"
+    whole = f"aggregate(sequence(0, size(z.b) - 1), {start}, (s, i) -> {step}, s -> s.n)"
+    return F.expr(f"get(transform(array(named_struct('a', split({a}, ''), 'b', split({b}, ''))), z -> {whole}), 0)")
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if its rows, counted in the files, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """``u, v``: pairs of different lines within ``edits`` edits, as the md5 of each. ``lines``
-    has ``_line``; repeated lines count once."""
-    keys = lines.select(F.xxhash64("_line").alias("_l"), F.explode(_keys(F.col("_line"), edits, True)).alias("_k"))
-    shared = (
-        keys.groupBy(F.col("_k.key").alias("_key"))
-        .agg(F.min("_l").alias("_a"), F.max("_l").alias("_b"), F.max("_k.own").alias("_own"))
-        .filter("_a < _b AND _own")
-        .select("_key")
+    has ``_line`` of at least ``MIN_CHARS`` characters; repeated lines count once."""
+    coded = lines.select(F.encode("_line", "UTF-32").alias("_b"))
+    coded = coded.select(F.xxhash64("_b").alias("_l"), "_b", F.expr("cast(octet_length(_b) / 4 as int)").alias("_n"))
+    keys = coded.select(F.shiftleft("_l", 1).alias("_l"), F.explode(_keys(edits)).alias("_k"))
+    # the low bit of the line's number says whether the key is a segment of its own
+    keys = keys.select(F.col("_k.key").alias("_key"), F.col("_l").bitwiseOR(F.col("_k.own").cast("long")).alias("_l"))
+    dealt = keys.repartition("_key")
+    line = F.shiftrightunsigned("_l", 1)
+    shared = dealt.groupBy("_key").agg(F.min(line).alias("_a"), F.max(line).alias("_z"), F.max(F.col("_l") % 2 != 0).alias("_o"))
+    shared = shared.filter("_a < _z AND _o").select("_key")
+    met = dealt.join(shared, "_key", "left_semi").select("_key", line.alias("_l"), (F.col("_l") % 2 != 0).alias("_own"))
+    met = write_table(met.distinct(), "line_meetings")
+    wanted = _sized(write_table(met.select("_l").distinct(), "met_lines"))
+    number = F.shiftrightunsigned(F.shiftleft(F.xxhash64(F.encode("_line", "UTF-32")), 1), 1)
+    texts = lines.select(number.alias("_l"), "_line").join(wanted, "_l", "left_semi")
+    texts = texts.distinct().select("_l", F.unhex(F.md5("_line")).alias("_id"), "_line", F.length("_line").alias("_n"), _parity(F.col("_line")).alias("_p"))
+    texts = write_table(texts, "line_texts")
+    sized = met.join(texts.select("_l", "_id", "_n", "_p"), "_l")
+    u = sized.filter("_own").select("_key", F.col("_id").alias("u"), F.col("_n").alias("_un"), F.col("_p").alias("_up"))
+    v = sized.select(
+        F.col("_key").alias("_vkey"), F.col("_own").alias("_vown"), F.col("_id").alias("v"), F.col("_n").alias("_vn"), F.col("_p").alias("_vp")
     )
-    shared = write_table(shared, "line_keys")
-    named = lines.select(F.unhex(F.md5("_line")).alias("_l"), F.explode(_keys(F.col("_line"), edits, True)).alias("_k"))
-    met = named.select("_l", F.col("_k.key").alias("_key"), F.col("_k.own").alias("_own"))
-    met = write_table(met.join(shared, "_key", "left_semi").distinct(), "line_meetings")
-    texts = lines.select(F.unhex(F.md5("_line")).alias("_l"), "_line").join(met.select("_l").distinct(), "_l", "left_semi")
-    texts = texts.groupBy("_l").agg(F.first("_line").alias("_line"))
-    texts = write_table(texts.select("_l", "_line", F.length("_line").alias("_n"), _parity(F.col("_line")).alias("_p")), "line_texts")
-    sized = met.join(texts.select("_l", "_n", "_p"), "_l")
-    u = sized.select("_key", "_own", F.col("_l").alias("u"), F.col("_n").alias("_un"), F.col("_p").alias("_up")).filter("_own")
-    v = sized.select("_key", F.col("_own").alias("_vown"), F.col("_l").alias("v"), F.col("_n").alias("_vn"), F.col("_p").alias("_vp"))
     near = F.bit_count(F.col("_up").bitwiseXOR(F.col("_vp"))) <= 2 * edits
     close = (F.col("_vn") - F.col("_un")).between(0, edits)
     once = ~F.col("_vown") | (F.col("u") < F.col("v"))
-    pairs = u.join(v, (u["_key"] == v["_key"]) & near & close & once & (F.col("u") != F.col("v")))
-    pairs = pairs.select("u", "v").distinct()
-    left = texts.select(F.col("_l").alias("u"), F.col("_line").alias("_b"))
-    right = texts.select(F.col("_l").alias("v"), F.col("_line").alias("_a"))
+    pairs = u.join(v, (F.col("_key") == F.col("_vkey")) & near & close & once & (F.col("u") != F.col("v")))
+    pairs = write_table(pairs.select("u", "v").distinct(), "line_pairs")
+    left = texts.select(F.col("_id").alias("u"), F.col("_line").alias("_short"))
+    right = texts.select(F.col("_id").alias("v"), F.col("_line").alias("_long"))
     both = pairs.join(left, "u").join(right, "v")
-    return both.filter(edit_distance("_a", "_b", edits) <= edits).select("u", "v")
+    return both.filter(edit_distance("_long", "_short", edits) <= edits).select("u", "v")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``_id, _h, _pos, _class, _first, _many`` of every eligible line: its class, the place of
     the class's first line as ``(_id, _h, _pos)``, and whether the class has other lines."""
+    if min_chars < 3 * (edits + 1):
+        raise ValueError("lines must have at least three characters per segment")
     lines = eligible_lines(docs, min_chars)
     roots = components(line_links(lines, edits))
     placed = lines.select("_id", "_h", "_pos", F.unhex(F.md5("_line")).alias("_l"))
