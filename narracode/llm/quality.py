@@ -118,10 +118,12 @@ def judge(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
 def keep_good(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, F.col("source").alias("_host"), F.col("text").alias("_text"))
-    verdicts = host_verdicts(text_counts(docs.select(F.col("source").alias("_host"), F.col("text").alias("_text"))), max_rate)
-    bad = verdicts.filter("_rejected").select(F.col("_host").alias("_judged"))
-    passed = text_counts(rows).filter(~base_failed())
+    host, text = F.col("source").alias("_host"), F.col("text").alias("_text")
+    features = write_table(text_counts(docs.select(host, text)).drop("_text"), "quality")
+    bad = host_verdicts(features, max_rate).filter("_rejected").select(F.col("_host").alias("_judged"))
+    # a generator keeps the counts below it computed once; a filter would be moved into them
+    counted = text_counts(docs.select(row, host, text))
+    passed = counted.select(F.inline(F.when(~base_failed(), F.array(F.struct("_row", "_host")))))
     return passed.join(bad, F.col("_host") == F.col("_judged"), "left_anti").select("_row.*")
 
 
