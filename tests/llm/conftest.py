@@ -25,7 +25,7 @@ def odd_docs(spark):
         row(5, LONG),
         row(6, LONG + "one more word"),
         row(7, "x" * 40_000, "de", "b"),
-        row(8, "Straße 𝒳 \x00 é́ ▁ <|endoftext|> a@b.co +1 (386) 555-3733 10.0.0.1 4111 1111 1111 1111", "de", "b"),
+        row(8, "Straße 𝒳 \x00 é́ ▁ <|endoftext|> a@b.co and +1 (386) 555-3733 or 10.0.0.1 or 4111 1111 1111 1111", "de", "b"),
         (None,) * 13,
     ]
     return spark.createDataFrame(rows, SCHEMA)
