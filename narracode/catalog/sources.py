@@ -32,7 +32,7 @@ def read_records(spark, sf):
     path = scratch_path(spark, "records_csv")
     out = t.records(spark, sf).toDF("uid", "NarrativeLE", "NarrativeCME")
     writers.write_csv(out, path)
-    return readers.read_records(spark, path)
+    return readers.read_records(spark, path, multi_line=True)
 
 
 _coded_cols = ", ".join(CODING_SPEC.columns)

@@ -122,12 +122,13 @@ def number_terms(totals: DataFrame) -> DataFrame:
 def packed_weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """``uid, entries`` with the known terms of each record as ``(term_id, w)`` in id order:
     ``(1 + ln tf) · idf`` scaled to length one. The terms of a record are put together by one
-    aggregation, and the length is taken from its array."""
+    aggregation, which takes the length too."""
     raw = terms.join(vocab.select("term", "term_id", "idf"), "term")
     weight = (1 + F.log("tf")) * F.col("idf")
-    packed = raw.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("term_id", weight.alias("w")))).alias("_e"))
-    squares = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-    packed = packed.withColumn("_norm", F.sqrt(squares))
+    packed = raw.groupBy("uid").agg(
+        F.array_sort(F.collect_list(F.struct("term_id", weight.alias("w")))).alias("_e"),
+        F.sqrt(F.sum(weight * weight)).alias("_norm"),
+    )
     scaled = F.transform("_e", lambda x: F.struct(x["term_id"].alias("term_id"), (x["w"] / F.col("_norm")).alias("w")))
     return packed.select("uid", scaled.alias("entries"))
 
