@@ -324,3 +324,14 @@ def test_native_operators_run_no_python(spark, sf):
     for name in ("op6_quality_rules", "op9_line_dedup", "op10_sharding"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_placement_query(spark, sf):
+    import hashlib
+
+    table = sharding.lookup_table(sharding.DEFAULT_SHARDS)
+    got = QUERIES["op10_sharding"](spark, sf).collect()
+    for r in got:
+        slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) % sharding.TABLE_SLOTS
+        assert (r.slot, r.shard) == (slot, sharding.DEFAULT_SHARDS[table[slot]])
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
