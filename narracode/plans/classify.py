@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from narracode.operators.features import english_stop_words
-from narracode.operators.labels import align, corpus, semi
-from narracode.operators.models import FeatureOptions, FitResult, TextFeatures, append_scores, boosted, fit_predict_all, linear
+from narracode.operators.labels import align, binarize, corpus, semi, to_long
+from narracode.operators.metrics import f1_by_label, random_baseline
+from narracode.operators.models import (
+    FeatureOptions,
+    FitResult,
+    TextFeatures,
+    append_scores,
+    boosted,
+    fit_predict_all,
+    linear,
+    save_run,
+)
+from narracode.sources import readers, writers
 from narracode.spec import LabelSpec
 
 
@@ -62,3 +74,40 @@ def train_and_predict(
         train, x_test, spec, settings.make_estimator, settings.folds, settings.seed, settings.chain_from
     )
     return features, result
+
+
+def report(result: FitResult, train_labels: DataFrame, spec: LabelSpec, seed: int = 314159) -> DataFrame:
+    """``label, kind, f1_half, f1, floor``: out-of-fold F1 at a threshold of one half, at the
+    thresholds that were found, and the F1 over all labels of random codes."""
+    binary = F.col("kind") == "binary"
+    half = result.oof.withColumn("y_hat", F.when(binary, binarize(F.col("score"), F.lit(0.5))).otherwise(F.col("y_hat")))
+    at_half = f1_by_label(half).select("label", F.col("f1").alias("f1_half"))
+    long = to_long(train_labels.select("uid", *[F.col(c).cast("int").alias(c) for c in spec.columns]), spec.columns)
+    kinds = spec.frame(train_labels.sparkSession)
+    floor = random_baseline(long, kinds, seed).select("f1").scalar()
+    return f1_by_label(result.oof).join(at_half, "label").select("label", "kind", "f1_half", "f1", floor.alias("floor"))
+
+
+def run_files(
+    spark: SparkSession,
+    train_path: str,
+    labels_path: str,
+    test_path: str,
+    template_path: str,
+    out: str,
+    spec: LabelSpec,
+    settings: RunSettings,
+    multi_line: bool = False,
+) -> DataFrame:
+    """From record, label and template files to a filled template, the out-of-fold table, the
+    saved vocabularies and models, and the report, all below ``out``."""
+    train = readers.read_records(spark, train_path, multi_line)
+    test = readers.read_records(spark, test_path, multi_line)
+    labels = readers.read_labels(spark, labels_path, spec)
+    features, result = train_and_predict(train, labels, test, spec, settings)
+    template = readers.read_template(spark, template_path, spec)
+    writers.write_submission(result.submission, template, f"{out}/submission", spec.columns)
+    writers.save_oof(result.oof, f"{out}/oof")
+    save_run(features, result, f"{out}/run", chain_from=settings.chain_from)
+    report(result, labels, spec, settings.seed).write.parquet(f"{out}/report")
+    return spark.read.parquet(f"{out}/report")

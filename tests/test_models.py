@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from narracode.operators import models as M
 from narracode.operators.scoring import answer_batches, score_batches
 from narracode.plans import stacked
-from narracode.plans.classify import RunSettings, boosted_settings, linear_settings, train_and_predict
+from narracode.plans.classify import RunSettings, boosted_settings, linear_settings, run_files, train_and_predict
 from narracode.plans.coding import code_records
 from narracode.session import scratch_path
 from narracode.spec import CODING_SPEC, QUESTIONS, LabelSpec
@@ -210,3 +210,21 @@ def test_records_without_scores_fail(spark):
     for df in (M.append_scores(x, external, ["s"]), M.chain_feature(x, external.withColumnRenamed("s", "score")), stack_features(x, external)):
         with pytest.raises(Exception, match="record b"):
             df.collect()
+
+
+def test_from_files_to_files(spark, labelled, tmp_path):
+    from narracode.sources.readers import read_labels
+    from narracode.sources.writers import write_csv
+
+    records, labels = labelled
+    named = records.withColumnsRenamed({"narrative_le": "NarrativeLE", "narrative_cme": "NarrativeCME"})
+    write_csv(named, str(tmp_path / "records"))
+    write_csv(labels, str(tmp_path / "labels"))
+    write_csv(labels.select("uid", *[F.lit(0).alias(c) for c in SPEC.columns]), str(tmp_path / "template"))
+    paths = [str(tmp_path / n) for n in ("records", "labels", "records", "template", "out")]
+    got = {r["label"]: r for r in run_files(spark, *paths, SPEC, settings()).collect()}
+    assert set(got) == set(SPEC.columns) and all(r["f1"] > 0.9 and r["floor"] < 0.8 for r in got.values())
+    assert all(r["f1_half"] <= r["f1"] + 1e-9 for r in got.values())
+    filled = read_labels(spark, str(tmp_path / "out/submission"), SPEC).join(labels, "uid").filter("uid is not null")
+    assert filled.count() == 120
+    assert spark.read.parquet(str(tmp_path / "out/oof")).count() == 360
