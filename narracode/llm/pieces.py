@@ -35,7 +35,7 @@ CHUNK_CHARS = 16_384
 CACHED_WORDS = 300_000
 BLANK = "▁"
 #: A character of the private area: no piece holds it, so nothing merges across it.
-_WALL = ""
+_WALL = "\ue000"
 
 State = tuple[int, int]  # piece id (or minus the code point of an unknown character), characters past the cut
 
@@ -136,8 +136,7 @@ class Pieces:
     def weight(self, left: int | None, right: int) -> float:
         """0 if the two stay apart when they stand alone, else minus infinity."""
         if left is None or left < 0 or right < 0:
-            a = self.surface(right) if right >= 0 else ""
-            return 0.0 if right < 0 or self._alone(a, right) else -np.inf
+            return 0.0 if right < 0 or self._alone(self.text[right], right) else -np.inf
         a, b = self.text[left], self.text[right]
         if b[0] == BLANK and a[-1] != BLANK:
             return 0.0 if self._alone(b, right) else -np.inf
@@ -212,9 +211,8 @@ def safe_cuts(text: str, a: int, b: int) -> tuple[int, int] | None:
 
 
 def _walk(p: Pieces, text: str, starts: list[tuple[int, int | None]], until: int):
-    """Best weights to every piece that begins before ``until`` (or is the last to end there),
-    from each start ``(place, piece before it)``. Returns, by place, ``{piece before: weights}``
-    and ``{piece before: where it came from}`` for places up to ``until`` and beyond."""
+    """Best weights from each start ``(place, piece before it)`` to every piece that begins before
+    ``until``: ``{piece before: weights}`` by place, for places up to ``until`` and beyond."""
     n = len(starts)
     reach: dict[int, dict[int | None, np.ndarray]] = {}
     for k, (place, before) in enumerate(starts):
