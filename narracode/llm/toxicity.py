@@ -144,12 +144,19 @@ def fit_counts(rows: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         every = every.unionByName(o.select("run", "class", "n"))
     slots = every.select("run", "class", "n").mapInArrow(_slot_rows, "class int, order int, own long, before long, n long")
     slots = write_table(slots, "run_slots")
-    own = slots.groupBy("class", "order", "own").agg(F.sum("n").alias("n"))
-    before = slots.groupBy("class", "order", "before").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-    for found, at, kinds in ((own, "own", ["n"]), (before, "before", ["n", "kinds"])):
-        for (c, n), part in found.toPandas().groupby(["class", "order"]):
-            for i, kind in enumerate(kinds):
-                table[c, n][i + (at == "before"), part[at]] = part[kind]
+    # one order at a time, so that the driver holds a small part of the model in transit
+    for n in range(1, ORDER + 1):
+        here = slots.filter(F.col("order") == n)
+        for at in ("own", "before"):
+            total, kinds = F.sum("n").cast("float").alias("n"), F.count(F.lit(1)).cast("float").alias("kinds")
+            found = here.groupBy(F.col("class").cast("tinyint").alias("class"), F.col(at).cast("int").alias("at")).agg(total, kinds).toPandas()
+            for c in found["class"].unique():
+                part = found[found["class"] == c]
+                if at == "own":
+                    table[c, n][0, part["at"]] = part["n"]
+                else:
+                    table[c, n][1, part["at"]], table[c, n][2, part["at"]] = part["n"], part["kinds"]
+            del found
     return table
 
 
