@@ -88,30 +88,31 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
             low, span = 2**s - 1, 2**s
             # a cell is cut along the weight so that its mean stays at most one half
             cuts = max(1, int(np.ceil(span * width * 2)))
-            for c in range(cuts):
-                left, wide = low + span * c / cuts, span / cuts
-                inside = weight > left
-                if not inside.any():
-                    break
-                whole = inside.all()
-                cell = element if whole else element[inside]
-                cell = mix(cell ^ mix(np.array([(level << 40) | (s << 32) | c], _U) + _U(0x9E3779B97F4A7C15)))
-                limits = _poisson_limits(wide * width)
-                hit = np.flatnonzero(cell >= _U(int(limits[0] * 2.0**64)))
-                hits = np.searchsorted(limits, unit(cell[hit]), side="right")
-                who = owner if whole else owner[inside]
-                reach = weight if whole else weight[inside]
-                for d in range(int(hits.max(initial=0))):
-                    hit, hits = hit[hits > d], hits[hits > d]
-                    dart = mix(cell[hit] + _U(0xD1B54A32D192ED03) * _U(d + 1))
-                    slot = who[hit] * k + (mix(dart + _U(3)) % _U(k)).astype(np.int64)
-                    # a slot with an earlier time keeps its dart
-                    ok = ~filled[slot]
-                    if wide > 1 or s:
-                        ok &= left + unit(mix(dart + _U(1))) * wide < reach[hit]
-                    slots.append(slot[ok])
-                    darts.append(dart[ok])
-                    times.append(mix(dart[ok] + _U(2)) >> _U(32))
+            wide = span / cuts
+            at, cut = np.flatnonzero(weight > low), 0
+            if cuts > 1:
+                reached = np.ceil((np.minimum(weight[at], low + span) - low) / wide).astype(np.int64)
+                at = np.repeat(at, reached)
+                cut = np.arange(len(at)) - np.repeat(np.cumsum(reached) - reached, reached)
+            place = mix(np.atleast_1d(np.asarray(cut)).astype(_U) + _U((level << 40) | (s << 32)) + _U(0x9E3779B97F4A7C15))
+            cell = mix(element[at] ^ place)
+            limits = _poisson_limits(wide * width)
+            hit = np.flatnonzero(cell >= _U(int(limits[0] * 2.0**64)))
+            hits = np.searchsorted(limits, unit(cell[hit]), side="right")
+            left = low + (cut[hit] if cuts > 1 else 0) * wide
+            for d in range(int(hits.max(initial=0))):
+                more = hits > d
+                hit, hits = hit[more], hits[more]
+                left = left[more] if cuts > 1 else left
+                dart = mix(cell[hit] + _U(0xD1B54A32D192ED03 * (d + 1) % 2**64))
+                slot = owner[at[hit]] * k + (mix(dart + _U(3)) % _U(k)).astype(np.int64)
+                # a slot with an earlier time keeps its dart
+                ok = ~filled[slot]
+                if wide > 1 or s:
+                    ok &= left + unit(mix(dart + _U(1))) * wide < weight[at[hit]]
+                slots.append(slot[ok])
+                darts.append(dart[ok])
+                times.append(mix(dart[ok] + _U(2)) >> _U(32))
         if slots:
             slot, dart = np.concatenate(slots), np.concatenate(darts)
             order = np.argsort((slot.astype(_U) << _U(32)) | np.concatenate(times), kind="stable")
