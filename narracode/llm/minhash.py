@@ -12,7 +12,9 @@ similarity.
 Signatures are cut into bands. Documents that share a band are first compared with the smallest
 of the band. What is then linked needs no more pairs; only documents of one band that are still
 in different components are compared, each such pair once. So a large group of copies costs one
-comparison per member, and no link is lost that the bands can see.
+comparison per member, and no link is lost that the bands can see. Pairs whose weights or parity
+bits rule the similarity out are never put out; many documents that share one passage, and
+therefore bands, are told apart there.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narracode.llm.graph import components
@@ -34,6 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8, 20 bands of 5 rows miss a pair with a probability below 0.001.
 BANDS, BAND_ROWS = 20, 5
+#: Bits that rule pairs out before their texts are fetched.
+PARITY_BITS = 1024
 
 _U = np.uint64
 #: Width of the first time interval, per unit of weight; later ones double.
@@ -130,6 +134,28 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
             owner, element, weight = owner[use], element[use], weight[use]
 
 
+def parities(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each weighted set, ``PARITY_BITS`` bits that say which classes of shingles have an odd
+    weight together. Sets differ in at least as much weight as in bits."""
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    element = np.concatenate([h for h, _ in sets])
+    odd = np.concatenate([w for _, w in sets]) % 2 == 1
+    at = owner[odd] * PARITY_BITS + (mix(element[odd] + _U(5)) % _U(PARITY_BITS)).astype(np.int64)
+    bits = np.bincount(at, minlength=len(sets) * PARITY_BITS) % 2
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(len(sets), -1)
+
+
+def may_link(limit: float, u: str = "_u", v: str = "_v") -> Column:
+    """Whether two contents can reach the similarity, by their weights ``w`` and parity bits
+    ``p``. Never false for a pair that reaches it."""
+    wu, wv = F.col(f"{u}w"), F.col(f"{v}w")
+    odd = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        odd = odd + F.bit_count(F.get(f"{u}p", F.lit(i)).bitwiseXOR(F.get(f"{v}p", F.lit(i))))
+    # at similarity s the weights differ by at most (1 - s) / (1 + s) of their sum
+    return (F.least(wu, wv) >= limit * F.greatest(wu, wv) - 1e-6) & (odd <= (wu + wv) * ((1 - limit) / (1 + limit)) + 1e-6)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity: sum of the lesser weights over the sum of the greater."""
     both = np.concatenate([a[0], b[0]])
@@ -156,31 +182,37 @@ def _band_rows(bands: int, rows: int):
                 some = [i for i, w in enumerate(words) if len(w)]
                 if not some:
                     continue
-                values = signatures([weighted(words[i]) for i in some], bands * rows)
+                sets = [weighted(words[i]) for i in some]
+                values = signatures(sets, bands * rows)
+                odd = pa.array(parities(sets).ravel())
+                size = PARITY_BITS // 64
+                odd = pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, size, dtype=np.int32)), odd)
                 keys = np.zeros((len(some), bands), _U)
                 for r in range(rows):
                     keys = mix(keys * _U(3) + values[:, r::rows] + np.arange(bands, dtype=_U))
                 content = [xxhash.xxh3_128_digest(words[i].tobytes()) for i in some]
                 flat = pa.array(keys.view(np.int64).ravel())
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, bands, dtype=np.int32)), flat)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[a + i] for i in some], pa.int64()),
                         pa.array([hashes[a + i] for i in some], pa.int64()),
                         pa.array(content, pa.binary()),
                         listed,
+                        pa.array([int(w.sum()) for _, w in sets], pa.int64()),
+                        odd,
                     ],
-                    names=["_id", "_h", "_c", "_bands"],
+                    names=["_id", "_h", "_c", "_bands", "_w", "_p"],
                 )
 
     return sign
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``_id, _h, _c, _bands`` of every row with words: a hash of the words in order, and one
-    key per band."""
+    """``_id, _h, _c, _bands, _w, _p`` of every row with words: a hash of the words in order, one
+    key per band, the weight of all shingles, and parity bits."""
     few = keyed(docs).select(F.col("_id").cast("long"), "_h", "_text")
-    return few.mapInArrow(_band_rows(bands, rows), "_id long, _h long, _c binary, _bands array<long>")
+    return few.mapInArrow(_band_rows(bands, rows), "_id long, _h long, _c binary, _bands array<long>, _w long, _p array<long>")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, limit: float) -> DataFrame:
@@ -216,7 +248,9 @@ def classes(
     """Members ``_id, _h, _c`` and roots ``node, root`` over the contents ``_c``."""
     sign = write_table(signed(docs, bands, rows), "signatures")
     members = sign.select("_id", "_h", "_c")
-    contents = sign.groupBy("_c").agg(F.first("_bands").alias("_bands"), F.min(F.struct("_id", "_h")).alias("_doc"))
+    contents = sign.groupBy("_c").agg(
+        F.min(F.struct("_id", "_h")).alias("_doc"), *[F.first(c).alias(c) for c in ("_bands", "_w", "_p")]
+    )
     contents = write_table(contents, "contents")
     keys = contents.select("_c", F.explode("_bands").alias("_key"))
     shared = keys.groupBy("_key").agg(F.min("_c").alias("_hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
@@ -230,8 +264,11 @@ def classes(
     texts = source.join(asked, source["_id"].eqNullSafe(asked["_aid"]) & (source["_h"] == asked["_ah"]))
     texts = write_table(texts.groupBy("_c").agg(F.first("_text").alias("_text")), "candidate_texts")
 
+    sizes = contents.select("_c", "_w", "_p")
     starred = met.filter("_c > _hub").select(F.col("_c").alias("u"), F.col("_hub").alias("v")).distinct()
-    starred = write_table(starred, "star_pairs")
+    starred = starred.join(sizes.select(F.col("_c").alias("u"), F.col("_w").alias("_uw"), F.col("_p").alias("_up")), "u")
+    starred = starred.join(sizes.select(F.col("_c").alias("v"), F.col("_w").alias("_vw"), F.col("_p").alias("_vp")), "v")
+    starred = write_table(starred.filter(may_link(limit)).select("u", "v"), "star_pairs")
     links = write_table(_checked(starred, texts, limit), "star_links")
     roots = components(links)
     now = met.join(roots, F.col("_c") == F.col("node"), "left").select("_key", "_c", "_hub", F.coalesce("root", "_c").alias("_root"))
@@ -241,10 +278,16 @@ def classes(
     counted = now.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("_n"))
     main = counted.groupBy("_key").agg(F.max_by("_root", F.struct("_n", "_root")).alias("_main"), F.count(F.lit(1)).alias("_k"))
     main = main.filter("_k > 1").select("_key", "_main")
-    open_bands = write_table(now.join(main, "_key"), "open_bands")
-    some = open_bands.filter("_root != _main").select("_key", F.col("_c").alias("u"), F.col("_root").alias("_ur"))
-    every = open_bands.select("_key", F.col("_c").alias("v"), F.col("_root").alias("_vr"), (F.col("_root") == F.col("_main")).alias("_vm"))
-    rest = some.join(every, "_key").filter("_ur != _vr AND (_vm OR u < v)")
+    open_bands = write_table(now.join(main, "_key").join(sizes, "_c"), "open_bands")
+    some = open_bands.filter("_root != _main").select(
+        "_key", F.col("_c").alias("u"), F.col("_root").alias("_ur"), F.col("_w").alias("_uw"), F.col("_p").alias("_up")
+    )
+    every = open_bands.select(
+        F.col("_key").alias("_vkey"), F.col("_c").alias("v"), F.col("_root").alias("_vr"), (F.col("_root") == F.col("_main")).alias("_vm"),
+        F.col("_w").alias("_vw"), F.col("_p").alias("_vp"),
+    )
+    apart = F.expr("_ur != _vr AND (_vm OR u < v)")
+    rest = some.join(every, (F.col("_key") == F.col("_vkey")) & apart & may_link(limit))
     rest = rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     rest = rest.join(starred, ["u", "v"], "left_anti")
     more = write_table(_checked(rest, texts, limit), "rest_links")
