@@ -9,8 +9,8 @@ every coordinate has a dart; that takes about ``k ln k`` darts in all, whatever
 shingles. Two documents agree in a coordinate with the probability of their weighted Jaccard
 similarity.
 
-Signatures are cut into bands. Documents that share a band are first compared with the smallest
-of the band. What is then linked needs no more pairs; only documents of one band that are still
+Signatures are cut into bands. Documents that share a band are first compared with the one of
+the band that meets the most others. What is then linked needs no more pairs; only documents of one band that are still
 in different components are compared, each such pair once. So a large group of copies costs one
 comparison per member, and no link is lost that the bands can see. Pairs whose weights or parity
 bits rule the similarity out are never put out; many documents that share one passage, and
@@ -253,9 +253,13 @@ def classes(
     )
     contents = write_table(contents, "contents")
     keys = contents.select("_c", F.explode("_bands").alias("_key"))
-    shared = keys.groupBy("_key").agg(F.min("_c").alias("_hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    shared = write_table(shared.select("_key", "_hub"), "bands")
+    shared = write_table(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "bands")
     met = write_table(keys.join(shared, "_key"), "band_members")
+    # what most copies were made from shares more bands with them than they do with each other
+    crowd = met.groupBy("_c").agg(F.sum("_n").alias("_crowd"))
+    met = write_table(met.select("_key", "_c").join(crowd, "_c"), "band_crowds")
+    hubs = met.groupBy("_key").agg(F.max_by("_c", F.struct("_crowd", "_c")).alias("_hub"))
+    met = write_table(met.select("_key", "_c").join(hubs, "_key"), "band_hubs")
 
     # one copy of the text of every content that meets another
     asked = met.select("_c").distinct().join(contents.select("_c", "_doc"), "_c")
@@ -265,7 +269,7 @@ def classes(
     texts = write_table(texts.groupBy("_c").agg(F.first("_text").alias("_text")), "candidate_texts")
 
     sizes = contents.select("_c", "_w", "_p")
-    starred = met.filter("_c > _hub").select(F.col("_c").alias("u"), F.col("_hub").alias("v")).distinct()
+    starred = met.filter("_c <> _hub").select(F.greatest("_c", "_hub").alias("u"), F.least("_c", "_hub").alias("v")).distinct()
     starred = starred.join(sizes.select(F.col("_c").alias("u"), F.col("_w").alias("_uw"), F.col("_p").alias("_up")), "u")
     starred = starred.join(sizes.select(F.col("_c").alias("v"), F.col("_w").alias("_vw"), F.col("_p").alias("_vp")), "v")
     starred = write_table(starred.filter(may_link(limit)).select("u", "v"), "star_pairs")
