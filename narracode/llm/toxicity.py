@@ -9,9 +9,10 @@ log-likelihoods: normalised by length for the whole text, and for its three most
 words, since a few words make a text toxic. A logistic curve, fitted on rows the models have not
 seen, turns these numbers into a score.
 
-The counts come from all training rows that are not set aside for that curve. The counted runs
-are hashed into a fixed number of slots per order, so the model has a fixed size however large
-the corpus is, and it is all that is broadcast.
+The counts come from all training rows that are not set aside for that curve. They stand by the
+run itself in a table that grows with the corpus. What a character adds to a word's score depends
+on the run it ends alone, so the different runs of the texts are joined to the counts, one order
+after the other, and their scores go to the texts by parts of the corpus; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -21,24 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narracode.llm.words import WordRows, blocks, mix
+from narracode.llm.words import CACHED_WORDS, WordRows, blocks
 from narracode.session import write_table
 
 #: Longest run of characters, and the orders that both classes share.
 ORDER, SHARED = 6, 2
-#: Slots per order for hashed runs.
-SLOTS = 1 << 18
 DISCOUNT = 0.75
 #: Words of a text that are looked at by themselves.
 WORST = 3
 #: One training row in so many is set aside for the curve, and at most so many of them are used.
 ASIDE, CURVE_ROWS = 5, 20_000
 THRESHOLD = 0.7
+#: Characters of the texts whose runs and scores meet in one task, and the least number of such parts.
+PART_CHARS, MIN_PARTS = 32 << 20, 8
 
-_U = np.uint64
 _START, _END = "\x02", "\x03"
 _FEATURES = 2 + WORST
 
@@ -56,22 +56,6 @@ def held_out(doc_id: Column) -> Column:
 # ---------------------------------------------------------------- runs of characters
 
 
-def _slots(codes: list[np.ndarray]) -> np.ndarray:
-    """Slots of runs given as columns of characters, the last character first."""
-    h = np.zeros(len(codes[0]), _U)
-    for c in codes:
-        h = mix(h * _U(31) + c.astype(_U) + _U(7))
-    return (h % _U(SLOTS)).astype(np.int64)
-
-
-def _run_slots(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of runs of one length, and of the runs without their last character."""
-    n = len(runs[0])
-    codes = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(runs), n)
-    columns = [codes[:, n - 1 - i] for i in range(n)]
-    return _slots(columns), _slots(columns[1:]) if n > 1 else np.zeros(len(runs), np.int64)
-
-
 def longest_runs(word: str) -> list[str]:
     """For each character of a marked word, the run of at most ``ORDER`` characters it ends."""
     marked = _START + word + _END
@@ -100,91 +84,63 @@ def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        runs = batch.column(0).to_pylist()
-        by_length: dict[int, list[int]] = {}
-        for i, r in enumerate(runs):
-            by_length.setdefault(len(r), []).append(i)
-        for n, at in by_length.items():
-            own, before = _run_slots([runs[i] for i in at])
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(1).take(take),
-                    pa.array([n] * len(at), pa.int32()),
-                    pa.array(own, pa.int64()),
-                    pa.array(before, pa.int64()),
-                    batch.column(2).take(take),
-                ],
-                names=["class", "order", "own", "before", "n"],
-            )
-
-
-def fit_counts(rows: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Model tables from ``text, class``: for each class (ordinary, toxic, both) and order, by
-    slot: the count of a run, the total of the runs that share its beginning, and their number.
-    At most ``SLOTS`` rows per class, order and kind reach the driver."""
-    table = {(2 if n <= SHARED else c, n): np.zeros((3, SLOTS), np.float32) for c in (0, 1) for n in range(1, ORDER + 1)}
+def fit_counts(rows: DataFrame) -> DataFrame:
+    """``run, n0, n1`` from ``text, class``: the counts of every run of every order in ordinary
+    and in toxic texts. The orders that both classes share have one count, given twice."""
     runs = rows.select("text", F.col("class").cast("int")).mapInArrow(count_runs, "run string, class int, n long")
-    longest = write_table(runs.groupBy("run", "class").agg(F.sum("n").alias("n")), "character_runs")
-    orders = [longest.filter(F.length("run") == ORDER)]
-    for n in range(ORDER - 1, SHARED, -1):
+    sums = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+    longest = write_table(runs.groupBy("run").agg(*sums), "character_runs")
+    above = out = longest.filter(F.length("run") == ORDER)
+    for n in range(ORDER - 1, 0, -1):
         # a run at the beginning of a word counts as it occurs, any other by what stands before it
-        shorter = orders[-1].groupBy(F.substring("run", 2, n).alias("run"), "class").agg(F.count(F.lit(1)).alias("n"))
-        orders.append(longest.filter(F.length("run") == n).unionByName(shorter))
-    for n in range(SHARED, 0, -1):
-        shorter = orders[-1].select("run").distinct().groupBy(F.substring("run", 2, n).alias("run")).agg(F.count(F.lit(1)).alias("n"))
-        starts = longest.filter(F.length("run") == n).groupBy("run").agg(F.sum("n").alias("n"))
-        orders.append(shorter.unionByName(starts).withColumn("class", F.lit(2)).select("run", "class", "n"))
-    every = orders[0]
-    for o in orders[1:]:
-        every = every.unionByName(o.select("run", "class", "n"))
-    slots = every.select("run", "class", "n").mapInArrow(_slot_rows, "class int, order int, own long, before long, n long")
-    slots = write_table(slots, "run_slots")
-    # one order at a time, so that the driver holds a small part of the model in transit
-    for n in range(1, ORDER + 1):
-        here = slots.filter(F.col("order") == n)
-        for at in ("own", "before"):
-            total, kinds = F.sum("n").cast("float").alias("n"), F.count(F.lit(1)).cast("float").alias("kinds")
-            found = here.groupBy(F.col("class").cast("tinyint").alias("class"), F.col(at).cast("int").alias("at")).agg(total, kinds).toPandas()
-            for c in found["class"].unique():
-                part = found[found["class"] == c]
-                if at == "own":
-                    table[c, n][0, part["at"]] = part["n"]
-                else:
-                    table[c, n][1, part["at"]], table[c, n][2, part["at"]] = part["n"], part["kinds"]
-            del found
-    return table
-
-
-def word_scores(words: list[str], table: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic less ordinary log-likelihood of each word, and its number of predicted characters."""
-    words = [w.lower() for w in words]
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    text = "".join([_START + w + _END for w in words])
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    word = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.flatnonzero(place > 0)
-    word, place = word[at], place[at]
-    columns = [codes[np.maximum(at - i, 0)] for i in range(ORDER)]
-    num, total, _ = table[2, 1]
-    p = (num[_slots(columns[:1])] + 0.5) / (total[0] + 128.0)
-    both = [p, p]
+        kinds = [(F.col(f"n{c}") > 0).cast("long").alias(f"n{c}") for c in (0, 1)]
+        starts = [F.col(f"n{c}") for c in (0, 1)]
+        if n <= SHARED:
+            kinds, starts = ([x.alias(f"n{c}") for c in (0, 1)] for x in (F.lit(1), F.col("n0") + F.col("n1")))
+        here = above.select(F.substring("run", 2, n).alias("run"), *kinds).unionByName(longest.filter(F.length("run") == n).select("run", *starts))
+        above = write_table(here.groupBy("run").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), f"run_counts_{n}")
+        out = out.unionByName(above)
+    return out
+
+
+def run_scores(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``run, score``: toxic less ordinary log-likelihood of the last character of each
+    different run in ``runs``, given the characters before it."""
+    ends = F.expr("explode(transform(sequence(1, length(run)), i -> right(run, i)))").alias("run")
+    every = write_table(runs.select(ends).distinct(), "asked_runs")
+    total = counts.filter(F.length("run") == 1).agg(F.sum("n0")).first()[0] or 0
+    p = (F.coalesce("n0", F.lit(0)) + 0.5) / (total + 128.0)
+    ones = every.filter(F.length("run") == 1).join(counts.filter(F.length("run") == 1), "run", "left")
+    shorter = ones.select(F.col("run").alias("tail"), p.alias("p0"), p.alias("p1"))
+    out = None
     for n in range(2, ORDER + 1):
-        own, before = _slots(columns[:n]), _slots(columns[1:n])
-        there = place >= n - 1
+        # asked and counted runs meet by the characters before the last one
+        asked = every.filter(F.length("run") == n).select("run", F.lit(0).alias("n0"), F.lit(0).alias("n1"), F.lit(True).alias("asked"))
+        own = counts.filter(F.length("run") == n).withColumn("asked", F.lit(False))
+        both = asked.unionByName(own).withColumn("before", F.substring("run", 1, n - 1)).repartition("before")
+        both = both.groupBy("before", "run").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("asked").alias("asked"))
+        same = Window.partitionBy("before")
+        for c in (0, 1):
+            both = both.withColumn(f"t{c}", F.sum(f"n{c}").over(same)).withColumn(f"k{c}", F.count_if(F.col(f"n{c}") > 0).over(same))
+        here = both.filter("asked").withColumn("tail", F.substring("run", 2, n - 1)).join(shorter, "tail")
+        ps = []
         for c in (0, 1):
-            num, total, kinds = table[2 if n <= SHARED else c, n]
-            t = np.maximum(total[before], 1e-9)
-            known = there & (total[before] > 0)
-            q = (np.maximum(num[own] - DISCOUNT, 0) + DISCOUNT * kinds[before] * both[c]) / t
-            both[c] = np.where(known, np.minimum(q, 1.0), both[c])
-    score = np.log(np.maximum(both[1], 1e-12)) - np.log(np.maximum(both[0], 1e-12))
-    return np.bincount(word, score, len(words)), (lengths - 1).astype(np.float64)
+            less = F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0))
+            q = (less + DISCOUNT * F.col(f"k{c}") * F.col(f"p{c}")) / F.col(f"t{c}")
+            ps.append(F.when(F.col(f"t{c}") > 0, F.least(q, F.lit(1.0))).otherwise(F.col(f"p{c}")).alias(f"p{c}"))
+        here = write_table(here.select("run", *ps), f"run_chances_{n}")
+        shorter = here.withColumnRenamed("run", "tail")
+        whole = here if n == ORDER else here.filter(F.col("run").startswith(_START))
+        out = whole if out is None else out.unionByName(whole)
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-12)))
+    return out.select("run", (log("p1") - log("p0")).cast("float").alias("score"))
+
+
+def word_scores(words: list[str], scores: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic less ordinary log-likelihood of each word, and its number of predicted characters."""
+    runs = [longest_runs(w.lower()) for w in words]
+    total = np.fromiter((sum(map(scores.__getitem__, r)) for r in runs), np.float64, len(words))
+    return total, np.fromiter(map(len, runs), np.float64, len(words))
 
 
 # ---------------------------------------------------------------- texts
@@ -202,23 +158,57 @@ def text_features(score: np.ndarray, chars: np.ndarray) -> list[float]:
     return out.tolist()
 
 
-def features(docs: DataFrame, table: dict[tuple[int, int], np.ndarray]) -> DataFrame:
-    """``doc_id, x`` for the whole text of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different longest runs of the texts of each part. Rows are id, text and part. A run comes
+    again after so many words that the task has to let go of those it holds."""
+    words: dict[int, set[str]] = {}
+
+    def put():
+        for part, found in words.items():
+            runs = list({r for w in found for r in longest_runs(w.lower())})
+            for i in range(0, len(runs), 100_000):
+                some = runs[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array(some)], names=["part", "run"])
+        words.clear()
 
-    def score(batches):
-        cache = WordRows(lambda words: word_scores(words, shared.value))
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            out = []
-            for a, b in blocks([len(t) for t in texts]):
-                cache.trim()
-                rows = [cache.rows(t) for t in texts[a:b]]
-                scores, chars = cache.fill()
-                out += [text_features(scores[r], chars[r]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "x"])
+    for batch in batches:
+        for t, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if t:
+                words.setdefault(part, set()).update(t.split())
+        if sum(map(len, words.values())) > CACHED_WORDS:
+            yield from put()
+    yield from put()
+
+
+def _score_part(docs: pa.Table, scores: pa.Table) -> pa.Table:
+    table = dict(zip(scores.column("run").to_pylist(), scores.column("score").to_pylist(), strict=True))
+    cache = WordRows(lambda words: word_scores(words, table))
+    out: list[list[float]] = []
+    for batch in docs.select(["text"]).to_batches(max_chunksize=1_000):
+        texts = [t or "" for t in batch.column(0).to_pylist()]
+        for a, b in blocks([len(t) for t in texts]):
+            cache.trim()
+            rows = [cache.rows(t) for t in texts[a:b]]
+            found, chars = cache.fill()
+            out += [text_features(found[r], chars[r]) for r in rows]
+    return pa.table({"doc_id": docs.column("doc_id"), "x": pa.array(out, pa.list_(pa.float64()))})
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+
+def features(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``doc_id, x`` for the whole text of every row.
+
+    The texts are dealt into parts that grow in number with the corpus. A part's different runs
+    are joined to their scores, and these meet the part's texts in one task.
+    """
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(MIN_PARTS, -(-chars // PART_CHARS))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    scores = run_scores(texts.withColumn("part", F.lit(0)).mapInArrow(_runs_of, "part int, run string").select("run"), counts)
+    dealt = texts.repartition(parts, "part")
+    met = dealt.mapInArrow(_runs_of, "part int, run string").join(scores, "run").select("part", "run", "score").repartition(parts, "part")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"
+    return dealt.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_score_part, schema)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -253,8 +243,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_R
     aside = F.pmod(F.xxhash64(F.col("_lid").cast("string")), F.lit(ASIDE)) == 0
     learn = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
     rows = learn.join(known.filter(~aside), F.col("doc_id") == F.col("_lid"))
-    table = fit_counts(rows)
-    found = write_table(features(docs, table), "toxicity")
+    found = write_table(features(docs, fit_counts(rows)), "toxicity")
     curve = found.join(known.filter(aside), F.col("doc_id") == F.col("_lid")).select("_lid", "x", "class")
     n = known.filter(aside).count()
     share = min(1.0, curve_rows / max(n, 1))
