@@ -52,13 +52,14 @@ class TokenIds:
 
     The file of the ``tokenizers`` library is read as it is; its merges stand in the order of
     the ids, so the vocabulary is also a table of ranks, and ``tiktoken`` gives the same ids in
-    a fraction of the time. Strings of special tokens are ordinary text.
+    a fraction of the time. With ``added`` the file's added tokens are found in the text, as the
+    library does by default; without, their strings are ordinary text.
     """
 
     #: Fixed value: the pattern by which byte-level vocabularies of this family split text.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
@@ -66,13 +67,15 @@ class TokenIds:
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
             raise ValueError("the tokenizer file must hold a byte-level vocabulary without a normaliser")
         letters = byte_letters()
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if added and any(" " in t["content"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens must be plain strings without blanks, at which long texts are cut")
         ranks = {bytes(letters[c] for c in k): i for k, i in spec["model"]["vocab"].items() if k not in special}
-        self.encoding = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text of any length, a bounded part of it at a time."""
-        parts = [self.encoding.encode_to_numpy(s, disallowed_special=()) for s in _blank_segments(text, 1 << 20)]
+        parts = [self.encoding.encode_to_numpy(s, allowed_special="all", disallowed_special=()) for s in _blank_segments(text, 1 << 20)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
@@ -107,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
 
     def cut(batches):
-        ids_of = TokenIds(tokenizer)
+        ids_of = TokenIds(tokenizer, added=True)
         counts: dict[int, int] = {}
         worker = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")

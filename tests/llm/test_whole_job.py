@@ -7,7 +7,9 @@ import random
 
 import numpy as np
 
-from narracode.llm import toxicity
+from narracode.llm import packing, toxicity
+from narracode.llm.queries import byte_bpe
+from tests.llm.conftest import docs_of
 
 
 def test_toxicity_counts_are_exact_for_any_number_of_runs(spark):
@@ -47,3 +49,18 @@ def test_toxicity_counts_are_exact_for_any_number_of_runs(spark):
         score = np.array([sum(np.log(max(chance(1, r), 1e-12)) - np.log(max(chance(0, r), 1e-12)) for r in w) for w in words])
         want = toxicity.text_features(score, np.array([len(w) for w in words], float))
         assert np.allclose(got[i], want, atol=1e-5)
+
+
+def test_packing_finds_added_tokens(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(byte_bpe())
+    texts = ["one <|endoftext|> two", "<|endoftext|><|endoftext|>a  <|endoftext|>", "a <|endoftext| > b"]
+    ids = [[*reference.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    got = packing.pack(docs_of(spark, texts), byte_bpe()).orderBy("doc_id", "start").collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(x) for i, x in enumerate(ids)}
+    for r in got:
+        part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert r.ids_crc32 == zlib.crc32(part)
