@@ -101,8 +101,11 @@ def base_spans(text: str) -> list[Span]:
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _TRIGGER = re.compile(r"[0-9@]")
+_SPACE = re.compile(r"\s")
 #: Characters around a digit or an at sign that are tagged.
 AROUND = 48
+#: Tokens of a long sequence whose features are worked out at once.
+PART = 2_000
 TAGS = 1 + 2 * len(KINDS)  # outside, then beginning and inside of each kind
 FEATURES = 1 << 12
 
@@ -230,7 +233,8 @@ class RandomField:
         if not held:
             return
         x, real = _padded([sequences[i] for i in held])
-        emit = self.weights[x].sum(axis=2)
+        # a bounded part of a long sequence at a time
+        emit = np.concatenate([self.weights[x[:, j : j + PART]].sum(axis=2) for j in range(0, x.shape[1], PART)], axis=1)
         n, length, tags = emit.shape
         best = np.zeros((n, length, tags), np.int8)
         v = emit[:, 0] + self.steps[0]
@@ -312,16 +316,39 @@ def train_field(table: list[list[tuple[str, int]]], rounds: int = 60, rate: floa
 
 def _windows(text: str) -> list[tuple[int, int]]:
     """Ranges around digits and at signs, as far as white space."""
-    out: list[tuple[int, int]] = []
+    near: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
+        if near and a <= near[-1][1]:
+            near[-1] = (near[-1][0], b)
+        else:
+            near.append((a, b))
+    out: list[tuple[int, int]] = []
+    for a, b in near:
+        low = out[-1][1] if out else 0
+        if b <= low:
+            continue
+        while a > low and not text[a - 1].isspace():
+            a -= 1
+        space = _SPACE.search(text, b)
+        b = space.start() if space else len(text)
+        if out and a <= low:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
     return out
 
 
+def _long_features(tokens: list[tuple[int, int, str]]) -> np.ndarray:
+    """``token_features`` of any number of tokens, worked out in parts that see two neighbours
+    on each side, as the features do."""
+    parts = []
+    for j in range(0, len(tokens), PART):
+        low = max(0, j - 2)
+        parts.append(token_features(tokens[low : j + PART + 2])[j - low : j - low + PART])
+    return np.concatenate(parts) if parts else token_features(tokens)
+
+
 _CHECKS = {
     0: lambda s: re.fullmatch(r"[A-Za-z0-9._%+ -]+@[A-Za-z0-9 -]+(?:[ ]?\.[ ]?[A-Za-z0-9-]+)+", s) is not None and "  " not in s,
     1: _good_ip,
@@ -337,11 +364,9 @@ def all_spans(texts: list[str], field: RandomField) -> list[tuple[list[Span], li
     for i, t in enumerate(texts):
         for a, b in _windows(t):
             found = _tokens(t, a, b)
-            # a piece of very many tokens is tagged in parts
-            for j in range(0, len(found), 2_000):
-                places.append(i)
-                tokens.append(found[j : j + 2_000])
-                features.append(token_features(tokens[-1]))
+            places.append(i)
+            tokens.append(found)
+            features.append(_long_features(found))
     added: dict[int, list[Span]] = {}
     for i, found, tags in zip(places, tokens, field.decode(features), strict=True):
         at = 0

@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 
-from narracode.llm import packing, toxicity
+from narracode.llm import packing, personal, toxicity
 from narracode.llm.queries import byte_bpe
 from tests.llm.conftest import docs_of
 
@@ -64,3 +64,14 @@ def test_packing_finds_added_tokens(spark):
     for r in got:
         part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
         assert r.ids_crc32 == zlib.crc32(part)
+
+
+def test_personal_data_in_long_windows_and_after_long_names():
+    field = personal.train_field(personal.labelled_table())
+    line = "call me (555) 123 4567, then\n"
+    (_, spans), (_, one) = personal.all_spans([line * 3000, line * 3], field)
+    assert len(one) == 3 and len(spans) == 3000
+    text = "word " * 20 + "a" * 70 + " @ example.com and more"
+    assert personal.all_spans([text], field)[0][1][0][0] == text.index("aaa")
+    tokens = personal._tokens(line * 900)
+    assert (personal._long_features(tokens) == personal.token_features(tokens)).all()
