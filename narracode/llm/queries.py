@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import embeddings, language, lines, minhash, packing, personal, pieces, quality, sharding, toxicity
+from narracode.llm import embeddings, language, lexical, lines, minhash, packing, personal, pieces, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,8 @@ def piece_bpe() -> str:
 @_query("op2_sentencepiece")
 def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode(_table(spark, sf, "documents"), piece_bpe())
+
+
+@_query("op11_lexical_search", lexical.ORACLE)
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
