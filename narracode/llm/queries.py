@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narracode.llm import embeddings, language, lexical, lines, minhash, packing, personal, pieces, quality, sharding, toxicity
+from narracode.llm import embeddings, language, lexical, lines, minhash, mixing, packing, personal, pieces, quality, sharding, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,13 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op11_lexical_search", lexical.ORACLE)
 def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+@_query("op12_mixing")
+def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf, "documents"))
+
+
+@_query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf, "embeddings"))
