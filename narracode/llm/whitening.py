@@ -82,13 +82,16 @@ def above(v: np.ndarray, shift: float) -> int:
 def slice_spectrum(v: np.ndarray, count: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
     """The ``count`` largest eigenvalues of a positive semi-definite matrix, those that are zero to
     rounding left out, and their unit eigenvectors as columns."""
-    n = len(v)
-    rounding = 8 * n * np.finfo(float).eps * max(np.trace(v), 0.0)
+    n, scale = len(v), float(np.trace(v))
+    if not scale > 0:
+        return np.zeros(0), np.zeros((n, 0))
+    v = v / scale
+    rounding = 8 * n * np.finfo(float).eps
     values, vectors = np.zeros(0), np.zeros((n, 0))
     top = float(np.abs(v).sum(axis=1).max(initial=0.0)) + rounding
     rng = np.random.default_rng(0)
     for k in range(min(count, n)):
-        if top <= rounding or above(v, rounding) <= k:
+        if above(v, rounding) <= k:
             break
         low, high = rounding, top if k == 0 else values[-1] + 2 * rounding
         while True:
@@ -104,7 +107,7 @@ def slice_spectrum(v: np.ndarray, count: int = COMPONENTS) -> tuple[np.ndarray,
             middle = (low + high) / 2
             low, high = (middle, high) if above(v, middle) > k else (low, middle)
         values, vectors = np.append(values, value), np.column_stack([vectors, vector])
-    return values, vectors
+    return values * scale, vectors
 
 
 def _rayleigh(v: np.ndarray, low: float, high: float, found: np.ndarray, rng: np.random.Generator, rounding: float) -> tuple[float, np.ndarray]:
@@ -114,13 +117,13 @@ def _rayleigh(v: np.ndarray, low: float, high: float, found: np.ndarray, rng: np
     middle = (low + high) / 2
     x = rng.normal(size=n)
     best = (np.inf, middle, x)
-    for _ in range(100):
+    for _ in range(200):
         for _ in range(2):
             x = x - found @ (found.T @ x)
         x = x / np.linalg.norm(x)
         value = float(x @ v @ x)
         residual = float(np.linalg.norm(v @ x - value * x))
-        inside = low <= value <= high
+        inside = low - rounding <= value <= high + rounding
         if inside and residual < best[0]:
             stalled = residual > best[0] / 2
             best = (residual, value, x)
@@ -133,8 +136,7 @@ def _rayleigh(v: np.ndarray, low: float, high: float, found: np.ndarray, rng: np
             x = np.linalg.solve(shifted, x)
         except np.linalg.LinAlgError:  # the shift is an eigenvalue to the last bit
             x = np.linalg.solve(shifted + rounding / n * np.eye(n), x)
-        if not np.isfinite(x).all():
-            x = rng.normal(size=n)
+        x = x / np.abs(x).max() if np.isfinite(x).all() else rng.normal(size=n)
     return best[1], best[2] / np.linalg.norm(best[2])
 
 
