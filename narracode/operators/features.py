@@ -25,8 +25,10 @@ def english_stop_words() -> list[str]:
 
 
 def by_record(docs: DataFrame) -> DataFrame:
-    """The texts, hash-partitioned by record; how many partitions there are follows their bytes."""
-    return docs.select("uid", "text").repartition("uid")
+    """The texts, hash-partitioned by record. Their n-grams are a hundred times larger, so the
+    number of partitions is that of the session and does not follow the bytes of the texts."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("uid", "text").repartition(parts, "uid")
 
 
 def word_terms(docs: DataFrame, low: int = 1, high: int = 3, stop_words: list[str] | None = None) -> DataFrame:

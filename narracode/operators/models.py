@@ -1,7 +1,8 @@
-"""Per-label classifiers on ``pyspark.ml``: fits, out-of-fold scores, chaining, registries.
+"""Per-label classifiers: fits, out-of-fold scores, chaining, registries.
 
-Every fit and transform is a Spark job over the feature table; the driver loops over labels
-and folds only, and receives thresholds and scores of a few rows.
+Linear models of all labels, classes and folds are fitted by the same jobs
+(``operators.linear``). Models of ``pyspark.ml`` are fitted one by one, and the driver loops over
+their labels and folds. The driver receives thresholds and scores of a few rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narracode.operators import linear as L
 from narracode.operators.features import char_terms, fit_vocab, packed_weights, required, to_vector, word_terms
 from narracode.operators.folds import stratified_kfold
 from narracode.operators.labels import binarize, to_long
@@ -30,8 +32,14 @@ from narracode.spec import LabelSpec
 # ------------------------------------------------------------------- estimators
 
 
+def sparse_linear(kind: str, alpha: float = 1e-4, **settings) -> L.SparseLinear:
+    """Linear model with an L1 penalty, fitted for all labels and folds together: logistic loss
+    for binary labels, modified Huber loss, one class against the others, for categorical ones."""
+    return L.SparseLinear(kind, alpha, **settings)
+
+
 def linear(kind: str, alpha: float = 1e-4, max_iter: int = 100, features: str = "features") -> LogisticRegression:
-    """Linear model with an L1 penalty; logistic loss for both kinds of label."""
+    """Spark's own linear model with an L1 penalty; logistic loss for both kinds of label."""
     return LogisticRegression(
         featuresCol=features,
         labelCol="y",
@@ -66,11 +74,15 @@ def boosted(
 
 def fit(estimator, df: DataFrame):
     """Fit on ``features, y`` rows."""
+    if isinstance(estimator, L.SparseLinear):
+        return L.fit_one(estimator, df)
     return estimator.fit(df.withColumn("y", F.col("y").cast("double")))
 
 
 def scores(model, df: DataFrame, kind: str) -> DataFrame:
     """``score``: probability of class 1 for binary labels, the class for categorical ones."""
+    if isinstance(model, L.LinearModel):
+        return L.score_rows(model, df).select(*df.columns, "score")
     out = model.transform(df)
     value = vector_to_array(F.col("probability"))[1] if kind == "binary" else F.col("prediction")
     return out.withColumn("score", value).select(*df.columns, "score")
@@ -79,9 +91,12 @@ def scores(model, df: DataFrame, kind: str) -> DataFrame:
 def cross_val_predict(df: DataFrame, estimator, kind: str, folds: int, parallelism: int = 4) -> DataFrame:
     """Out-of-fold score of every row of ``uid, features, y, fold``.
 
-    The fits of the folds are independent Spark jobs; up to ``parallelism`` are submitted at
-    the same time.
+    Linear models with an L1 penalty are fitted for all folds together. Other fits are independent
+    Spark jobs; up to ``parallelism`` are submitted at the same time.
     """
+    if isinstance(estimator, L.SparseLinear):
+        named = df.select("uid", "features", F.col("y").cast("int"), "fold")
+        return fit_stack(named, {"y": estimator}, {"y": "fold"}, folds, full=False)[1].select("uid", "fold", "y", "score")
 
     def one(f: int) -> DataFrame:
         model = fit(estimator, df.filter(F.col("fold") != f))
@@ -93,6 +108,28 @@ def cross_val_predict(df: DataFrame, estimator, kind: str, folds: int, paralleli
     return reduce(DataFrame.unionByName, parts).select("uid", "fold", "y", "score")
 
 
+def fit_stack(
+    train: DataFrame, estimators: dict[str, L.SparseLinear], fold_cols: dict[str, str], folds: int, full: bool = True
+) -> tuple[dict[str, L.LinearModel], DataFrame]:
+    """Models and out-of-fold scores ``uid, label, fold, y, score`` of many labels.
+
+    ``train`` is ``uid, features``, a column of codes per label, and its fold column in
+    ``fold_cols``. All labels, classes and folds are fitted by the same jobs; the features are
+    read as often for one label as for all of them.
+    """
+    labels = list(estimators)
+    blocks, dim = L.pack(train, labels, [fold_cols[c] for c in labels])
+    classes = L.classes_of(train, labels)
+    parts = [*range(folds), *([None] if full else [])]
+    tasks = [t for c in labels for t in L.tasks_of(c, classes[c], estimators[c], parts)]
+    first = next(iter(estimators.values()))
+    stack = L.fit_tasks(blocks, dim, labels, tasks, min(e.tol for e in estimators.values()), first.max_iter)
+    kind = {c: e.kind for c, e in estimators.items()}
+    held_out = [(c, f, stack.model(c, kind[c], f)) for c in labels for f in range(folds)]
+    models = {c: stack.model(c, kind[c]) for c in labels} if full else {}
+    return models, L.decision_scores(blocks, held_out, labels)
+
+
 def chain_feature(df: DataFrame, score_df: DataFrame) -> DataFrame:
     """Append another label's score to the feature vector, by record key. A record without a
     score fails the job."""
@@ -205,6 +242,16 @@ def _with_folds(train: DataFrame, spec: LabelSpec, folds: int, seed: int) -> Dat
     return train.join(wide, "uid")
 
 
+def _groups(spec: LabelSpec, chain_from: str | None) -> list[list[tuple[str, str]]]:
+    """Labels that can be fitted together, in order: binary labels up to the chained one, those
+    after it, categorical ones."""
+    ranges = [(label, kind) for label, kind, _, _ in spec.slot_ranges()]
+    binary = [x for x in ranges if x[1] == "binary"]
+    names = [label for label, _ in binary]
+    cut = names.index(chain_from) + 1 if chain_from in names else len(names)
+    return [g for g in (binary[:cut], binary[cut:], [x for x in ranges if x[1] != "binary"]) if g]
+
+
 def fit_predict_all(
     train: DataFrame,
     test: DataFrame,
@@ -223,16 +270,12 @@ def fit_predict_all(
     """
     train = write_table(_with_folds(train, spec, folds, seed), "train_features")
     test = write_table(test.select("uid", "features"), "test_features")
-    chained_train, chained_test = train, test
     models, thresholds, label_f1 = {}, {}, {}
     oof_parts, test_parts = [], []
-    for label, kind, _, _ in spec.slot_ranges():
-        binary = kind == "binary"
-        source, x_test = (chained_train, chained_test) if binary else (train, test)
-        y = F.col(label) - (0 if binary else 1)
-        x_train = source.select("uid", "features", y.alias("y"), F.col(f"_fold_{label}").alias("fold")).persist()
-        oof = write_table(cross_val_predict(x_train, make_estimator(label, kind), kind, folds), "oof")
-        if binary:
+
+    def finish(label: str, kind: str, oof: DataFrame, model, x_test: DataFrame) -> DataFrame:
+        """Threshold, scores and codes of one label; returns the scores of the test rows."""
+        if kind == "binary":
             found = threshold_search(oof, []).first()
             thresholds[label], label_f1[label] = found["thresh"], found["f1"]
             y_hat = binarize(F.col("score"), F.lit(found["thresh"]))
@@ -240,16 +283,36 @@ def fit_predict_all(
             thresholds[label] = None
             y_hat = F.col("score").cast("int")
             label_f1[label] = oof.agg(F.avg((F.col("y") == F.col("score")).cast("double"))).first()[0]
-        oof_parts.append(oof.select(F.lit(label).alias("label"), F.lit(kind).alias("kind"), "*", y_hat.alias("y_hat")))
-        model = fit(make_estimator(label, kind), x_train)
+        oof_parts.append(oof.select(F.lit(label).alias("label"), F.lit(kind).alias("kind"), "uid", "fold", "y", "score", y_hat.alias("y_hat")))
         models[label] = model
         test_scores = write_table(scores(model, x_test, kind).select("uid", "score"), "test_scores")
-        code = binarize(F.col("score"), F.lit(thresholds[label])) if binary else (F.col("score") + 1).cast("int")
+        code = binarize(F.col("score"), F.lit(thresholds[label])) if kind == "binary" else (F.col("score") + 1).cast("int")
         test_parts.append(test_scores.select("uid", F.lit(label).alias("label"), code.alias("code")))
-        x_train.unpersist()
-        if label == chain_from:
-            chained_train = write_table(chain_feature(train, oof), "train_chained")
-            chained_test = write_table(chain_feature(test, test_scores), "test_chained")
+        return test_scores
+
+    chained = False
+    for group in _groups(spec, chain_from):
+        chain = chained and group[0][1] == "binary"
+        source, x_test = (write_table(chain_feature(train, chain_oof), "train_chained"), write_table(chain_feature(test, chain_test), "test_chained")) if chain else (train, test)
+        estimators = {label: make_estimator(label, kind) for label, kind in group}
+        together = {c: e for c, e in estimators.items() if isinstance(e, L.SparseLinear)}
+        stacked, stacked_oof = {}, None
+        if together:
+            shift = {c: 0 if k == "binary" else 1 for c, k in group}
+            named = source.select("uid", "features", *[(F.col(c) - shift[c]).alias(c) for c in together], *[f"_fold_{c}" for c in together])
+            stacked, stacked_oof = fit_stack(named, together, {c: f"_fold_{c}" for c in together}, folds)
+            stacked_oof = write_table(stacked_oof, "oof")
+        for label, kind in group:
+            if label in together:
+                oof, model = stacked_oof.filter(F.col("label") == label).select("uid", "fold", "y", "score"), stacked[label]
+            else:
+                y = F.col(label) - (0 if kind == "binary" else 1)
+                x_train = write_table(source.select("uid", "features", y.alias("y"), F.col(f"_fold_{label}").alias("fold")), "label_features")
+                oof = write_table(cross_val_predict(x_train, estimators[label], kind, folds), "oof")
+                model = fit(estimators[label], x_train)
+            test_scores = finish(label, kind, oof, model, x_test)
+            if label == chain_from:
+                chained, chain_oof, chain_test = True, oof, test_scores
     submission = reduce(DataFrame.unionByName, test_parts).groupBy("uid").agg(
         *[F.max(F.when(F.col("label") == c, F.col("code"))).alias(c) for c in spec.columns]
     )
@@ -269,11 +332,23 @@ def save_models(models: dict[str, object], path: str) -> dict[str, str]:
     paths = {}
     for label, model in models.items():
         paths[label] = f"{path}/{label}"
+        if isinstance(model, L.LinearModel):
+            model.save(SparkSession.active(), paths[label])
+            continue
         as_pipeline = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
         as_pipeline.write().save(paths[label])
     return paths
 
 
+def load_model(spark: SparkSession, path: str):
+    """A model that ``save_models`` wrote."""
+    jvm = spark.sparkContext._jvm
+    head = jvm.org.apache.hadoop.fs.Path(f"{path}/linear")
+    if head.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(head):
+        return L.LinearModel.load(spark, path)
+    return PipelineModel.load(path)
+
+
 @dataclass
 class RegistryEntry:
     """Where a label's model and its feature vocabularies were saved, and what the model was
@@ -308,7 +383,7 @@ def mixed_predict(
         if key not in ready:
             ready[key] = write_table(append_scores(ready[text_key], external, external_cols), "features")
         x = chain_feature(ready[key], chain) if entry.chained else ready[key]
-        scored = scores(PipelineModel.load(entry.model_path), x, entry.kind).select("uid", "score")
+        scored = scores(load_model(spark, entry.model_path), x, entry.kind).select("uid", "score")
         if entry.label == chain_from:
             scored = chain = write_table(scored, "chain_scores")
         code = (

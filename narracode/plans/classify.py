@@ -18,8 +18,8 @@ from narracode.operators.models import (
     append_scores,
     boosted,
     fit_predict_all,
-    linear,
     save_run,
+    sparse_linear,
 )
 from narracode.sources import readers, writers
 from narracode.spec import LabelSpec
@@ -30,7 +30,7 @@ class RunSettings:
     """Features, estimator per label, folds and the label whose score is chained."""
 
     options: FeatureOptions = field(default_factory=FeatureOptions)
-    make_estimator: Callable = lambda label, kind: linear(kind)
+    make_estimator: Callable = lambda label, kind: sparse_linear(kind)
     folds: int = 4
     seed: int = 314159
     chain_from: str | None = "SuicideIntentDisclosed"
@@ -39,7 +39,7 @@ class RunSettings:
 def boosted_settings(linear_labels: tuple[str, ...] = ("WeaponType1",), **trees) -> RunSettings:
     """Boosted trees on all n-grams that occur in five records; the named labels stay linear."""
     return RunSettings(
-        make_estimator=lambda label, kind: linear(kind) if label in linear_labels else boosted(kind, **trees)
+        make_estimator=lambda label, kind: sparse_linear(kind) if label in linear_labels else boosted(kind, **trees)
     )
 
 
