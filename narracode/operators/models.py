@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narracode.operators import boosting as B
 from narracode.operators import linear as L
 from narracode.operators.features import char_terms, fit_vocab, packed_weights, required, to_vector, word_terms
 from narracode.operators.folds import stratified_kfold
@@ -38,6 +39,11 @@ def sparse_linear(kind: str, alpha: float = 1e-4, **settings) -> L.SparseLinear:
     return L.SparseLinear(kind, alpha, **settings)
 
 
+def sparse_boosted(kind: str, **settings) -> B.SparseBoosted:
+    """Boosted trees grown leaf by leaf on all features; softmax for categorical labels."""
+    return B.SparseBoosted(kind, **settings)
+
+
 def linear(kind: str, alpha: float = 1e-4, max_iter: int = 100, features: str = "features") -> LogisticRegression:
     """Spark's own linear model with an L1 penalty; logistic loss for both kinds of label."""
     return LogisticRegression(
@@ -76,12 +82,14 @@ def fit(estimator, df: DataFrame):
     """Fit on ``features, y`` rows."""
     if isinstance(estimator, L.SparseLinear):
         return L.fit_one(estimator, df)
+    if isinstance(estimator, B.SparseBoosted):
+        return B.fit(estimator, df)
     return estimator.fit(df.withColumn("y", F.col("y").cast("double")))
 
 
 def scores(model, df: DataFrame, kind: str) -> DataFrame:
     """``score``: probability of class 1 for binary labels, the class for categorical ones."""
-    if isinstance(model, L.LinearModel):
+    if isinstance(model, (L.LinearModel, B.BoostedModel)):
         return L.score_rows(model, df).select(*df.columns, "score")
     out = model.transform(df)
     value = vector_to_array(F.col("probability"))[1] if kind == "binary" else F.col("prediction")
@@ -332,7 +340,7 @@ def save_models(models: dict[str, object], path: str) -> dict[str, str]:
     paths = {}
     for label, model in models.items():
         paths[label] = f"{path}/{label}"
-        if isinstance(model, L.LinearModel):
+        if isinstance(model, (L.LinearModel, B.BoostedModel)):
             model.save(SparkSession.active(), paths[label])
             continue
         as_pipeline = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
@@ -342,10 +350,11 @@ def save_models(models: dict[str, object], path: str) -> dict[str, str]:
 
 def load_model(spark: SparkSession, path: str):
     """A model that ``save_models`` wrote."""
-    jvm = spark.sparkContext._jvm
-    head = jvm.org.apache.hadoop.fs.Path(f"{path}/linear")
-    if head.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(head):
-        return L.LinearModel.load(spark, path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, kind in (("linear", L.LinearModel), ("boosted", B.BoostedModel)):
+        head = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        if head.getFileSystem(conf).exists(head):
+            return kind.load(spark, path)
     return PipelineModel.load(path)
 
 

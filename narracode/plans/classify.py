@@ -16,9 +16,9 @@ from narracode.operators.models import (
     FitResult,
     TextFeatures,
     append_scores,
-    boosted,
     fit_predict_all,
     save_run,
+    sparse_boosted,
     sparse_linear,
 )
 from narracode.sources import readers, writers
@@ -39,7 +39,7 @@ class RunSettings:
 def boosted_settings(linear_labels: tuple[str, ...] = ("WeaponType1",), **trees) -> RunSettings:
     """Boosted trees on all n-grams that occur in five records; the named labels stay linear."""
     return RunSettings(
-        make_estimator=lambda label, kind: sparse_linear(kind) if label in linear_labels else boosted(kind, **trees)
+        make_estimator=lambda label, kind: sparse_linear(kind) if label in linear_labels else sparse_boosted(kind, **trees)
     )
 
 

@@ -133,7 +133,7 @@ def test_saved_run_predicts_what_it_predicted(spark, labelled):
 
 
 def test_presets(spark):
-    assert type(boosted_settings(trees=3).make_estimator("a", "binary")).__name__ == "Pipeline"
+    assert type(boosted_settings(trees=3).make_estimator("a", "binary")).__name__ == "SparseBoosted"
     assert type(boosted_settings().make_estimator("WeaponType1", "categorical")).__name__ == "SparseLinear"
     preset = linear_settings()
     assert (preset.options.min_df, preset.options.max_df, preset.folds) == (10, 0.6, 5) and "the" in preset.options.stop_words
