@@ -78,7 +78,7 @@ def test_trees_equal_brute_force(spark, monkeypatch, kind):
         dense[:, f] = np.searchsorted(limits, x[:, f])
     want = brute(dense, y, model, s)
     row, index = np.nonzero(x)
-    got = model.raw(B._Columns(model.bins, len(x), row, index, x[row, index]))
+    got = B.raw_scores(model.start, model.rounds, B._Columns.of_entries(model.bins, len(x), row, index, x[row, index]))
     assert np.allclose(got, want, atol=1e-9)
     assert max(sum(f < 0 for f in t.feature) for r in model.rounds for t in r) == 6
     scored = M.scores(model, df, kind).toPandas().set_index("uid").score
