@@ -3,7 +3,8 @@
 A word, with marks at its ends, gives its runs of one to four characters, hashed into a fixed
 number of buckets. Each bucket has an embedding; a text is the average over all its runs, and a
 linear layer with softmax scores the languages. The model is trained by stochastic gradient
-descent in numpy on a bounded sample: about ``TRAIN_ROWS`` documents in equal parts per language,
+descent in numpy on a bounded sample: about ``TRAIN_ROWS`` documents in equal parts per language
+(``LEAST_ROWS`` of a language at least),
 each once as a whole and once as a short piece, so that short texts are known too. The softmax is
 calibrated by one temperature on documents kept out of the descent; below ``REJECT`` the
 prediction is marked as rejected.
@@ -14,11 +15,11 @@ language once, and a text only adds up its words.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from narracode.llm.words import WordRows, blocks, mix
 
 #: Documents to train on, in all languages together; they travel to the driver as bucket counts.
 TRAIN_ROWS = 2_400
-#: Most frequent languages that are learned.
-MAX_LANGUAGES = 256
+#: Documents of a language at least, as far as there are any, however many languages there are.
+LEAST_ROWS = 12
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 LONGEST = 4
@@ -39,7 +40,7 @@ REJECT = 0.5
 UNKNOWN = "und"
 
 _U = np.uint64
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def id_hash(doc_id: Column) -> Column:
@@ -148,13 +149,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel | None:
     """Train on ``doc_id, text, lang`` of rows that are not held out; None without any."""
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    each = train_rows / len(counts)
-    shares = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
+    each = max(train_rows / len(counts), LEAST_ROWS)
+    # a row for each language, of which the model holds more
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "_lang string, _share double")
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("lang")), F.lit(1_000_000)) / 1_000_000
-    sample = rows.filter(draw < F.coalesce(shares[F.col("lang")], F.lit(0.0)))
+    sample = rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter(draw < F.col("_share")).select("doc_id", "lang", "text")
 
     def bags(batches):
         for batch in batches:

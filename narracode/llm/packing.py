@@ -13,6 +13,7 @@ data; they are joined end to end.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,10 @@ CAPACITY = 1024
 #: Classes whose pieces are cut to length; shorter pieces are tails.
 CUT_CLASSES = 32
 
+#: A run of white space that is taken out of a text before it is split. Fixed value: the characters
+#: are those of Unicode's White_Space property.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, worker int, number long"
 
 
@@ -74,10 +79,21 @@ class TokenIds:
         self.encoding = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of one text of any length, a bounded part of it at a time."""
-        parts = [self.encoding.encode_to_numpy(s, allowed_special="all", disallowed_special=()) for s in _blank_segments(text, 1 << 20)]
+        """Ids of one text of any length, a bounded part of it at a time. A very long run of white
+        space is one piece by the pattern, without the character before what follows; the pattern
+        itself cannot be run over it."""
+        parts, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts += self._plain(text[at : run.start()])
+            parts.append(np.array(self.encoding._encode_single_piece(text[run.start() : end]), np.uint32))
+            at = end
+        parts += self._plain(text[at:]) if at < len(text) or not parts else []
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
+    def _plain(self, text: str) -> list[np.ndarray]:
+        return [self.encoding.encode_to_numpy(s, allowed_special="all", disallowed_special=()) for s in _blank_segments(text, 1 << 20)]
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies: visible Latin-1

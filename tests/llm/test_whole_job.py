@@ -66,6 +66,25 @@ def test_packing_finds_added_tokens(spark):
         assert r.ids_crc32 == zlib.crc32(part)
 
 
+def test_packing_of_long_runs(spark):
+    """Runs of white space and letters beyond a million characters, also beside added tokens."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    reference, end = Tokenizer.from_file(byte_bpe()), "<|endoftext|>"
+    n = 1_200_000
+    texts = [
+        "a" + " " * n + "b", "\t" * n, "x" + "\n" * n + "y" + "z" * n, end + " " * n + end, "a" + " \n" * 30_000 + "\u3000" * 30_000 + "!",
+        "a " + "\x1c" * 60_000 + " b", " " * 60_000 + "'s",
+    ]
+    ids = [[*reference.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    got = packing.pack(docs_of(spark, texts), byte_bpe()).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(x) for i, x in enumerate(ids)}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4"))
+
+
 def test_personal_data_in_long_windows_and_after_long_names():
     field = personal.train_field(personal.labelled_table())
     line = "call me (555) 123 4567, then\n"
@@ -75,3 +94,18 @@ def test_personal_data_in_long_windows_and_after_long_names():
     assert personal.all_spans([text], field)[0][1][0][0] == text.index("aaa")
     tokens = personal._tokens(line * 900)
     assert (personal._long_features(tokens) == personal.token_features(tokens)).all()
+
+
+def test_languages_without_a_cap_and_letters(spark):
+    from narracode.llm import language
+
+    assert [bool(language._LETTER.search(t)) for t in ("²", "½ 12", "①", "Ⅷ", "_1", "é", "中", "ʰ")] == [False] * 5 + [True] * 3
+    rng = random.Random(1)
+    rows = []
+    for k in range(300):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) + f"q{k}q" for _ in range(4)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=12)), f"l{k:03d}") for i in range(4)]
+    docs = spark.createDataFrame([*rows, (5000, "①²", "l000")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    assert got[5000].lang_pred == "und" and got[5000].score == 0
+    assert len({r.lang_pred for r in got.values()}) > 257
