@@ -12,8 +12,11 @@ from narracode.operators import ensemble as E
 from narracode.operators import metrics as M
 from narracode.operators import thresholds as T
 from narracode.operators.ensemble import activate
+from narracode.operators.folds import stratified_kfold
 from narracode.plans.evaluate import evaluate_logits, score_files
+from narracode.session import scratch_path
 from narracode.spec import CODING_SPEC
+from narracode.streaming.best_events import append_events
 from narracode.streaming.running_best import run_to_table
 
 
@@ -310,6 +313,58 @@ def running_best(spark, sf):
     return rounded(T.running_best(t.evals(spark, sf), span=1024), "thresh", "f1", "best_thresh", "best_f1")
 
 
+@query(
+    "running_best_events",
+    t.with_tables(
+        f"SELECT run, label, step, round(thresh, 6) AS thresh, round(f1, 6) AS f1, round(b.t, 6) AS best_thresh, round(b.f1, 6) AS best_f1 "
+        f"FROM (SELECT *, {_state} AS b FROM evals)",
+        "evals",
+    ),
+)
+def running_best_events(spark, sf):
+    """A row for every evaluation from a stateful stream: three parts of the steps arrive one after
+    the other, and the stream is started again from its checkpoint for each."""
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("evaluations", "best_events", "best_state"))
+    evals = t.evals(spark, sf)
+    steps = evals.agg(F.min("step").alias("a"), F.max("step").alias("b")).first()
+    third = (steps["b"] - steps["a"]) // 3 + 1
+    for k in range(3):
+        low = steps["a"] + k * third
+        evals.filter((F.col("step") >= low) & (F.col("step") < low + third)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(evals.schema).parquet(source)
+        append_events(stream, out, checkpoint)
+    return rounded(spark.read.parquet(out), "thresh", "f1", "best_thresh", "best_f1")
+
+
+_report_folds = (
+    "SELECT uid, label, CAST((row_number() OVER (PARTITION BY label ORDER BY y, md5('11|' || uid)) - 1) % 4 AS INT) AS fold FROM labels_long"
+)
+
+
+@query(
+    "evaluation_report",
+    t.with_tables(
+        "SELECT CASE grouping_id(fold, label, kind) WHEN 0 THEN 'fold' WHEN 4 THEN 'label' WHEN 6 THEN 'kind' ELSE 'all' END AS level, "
+        "fold, label, kind, count(*) AS n, "
+        "count(*) FILTER (kind = 'binary' AND y = 1 AND y_hat = 1) AS tp, count(*) FILTER (kind = 'binary' AND y_hat = 1) AS predicted, "
+        "count(*) FILTER (kind = 'binary' AND y = 1) AS actual, count(*) FILTER (y = y_hat) AS same, "
+        "round(CASE WHEN count(*) FILTER (kind = 'binary') > 0 THEN CASE WHEN count(*) FILTER (kind = 'binary' AND (y = 1 OR y_hat = 1)) = 0 THEN 0 "
+        "ELSE CAST(2 * count(*) FILTER (kind = 'binary' AND y = 1 AND y_hat = 1) AS DOUBLE) / "
+        "(count(*) FILTER (kind = 'binary' AND y = 1) + count(*) FILTER (kind = 'binary' AND y_hat = 1)) END "
+        "ELSE CAST(count(*) FILTER (y = y_hat) AS DOUBLE) / count(*) END, 6) AS f1 "
+        "FROM (SELECT p.uid, p.label, p.kind, p.y, p.y_hat, f.fold FROM member_preds p JOIN folds f ON p.uid = f.uid AND p.label = f.label WHERE p.model = 0) "
+        "GROUP BY GROUPING SETS ((fold, label, kind), (label, kind), (kind), ())",
+        "member_preds",
+        extra={"folds": _report_folds},
+    ),
+)
+def evaluation_report(spark, sf):
+    """Out-of-fold decisions of one member: scores by fold and label, by label, by kind, over all."""
+    preds = t.member_preds(spark, sf).filter(F.col("model") == 0)
+    folds = stratified_kfold(t.labels_long(spark, sf), 4, 11).select("uid", "label", "fold")
+    return rounded(M.evaluation_report(preds.join(folds, ["uid", "label"])), "f1")
+
+
 FINAL_SQL = (
     "SELECT label, max_by(thresh, step) AS thresh, max_by(f1, step) AS f1, "
     "max(struct_pack(f1 := f1, step := step, t := thresh)) AS b, max(step) AS step FROM evals GROUP BY label"

@@ -35,6 +35,37 @@ def read_records(spark, sf):
     return readers.read_records(spark, path, multi_line=True)
 
 
+@query(
+    "read_split_records",
+    t.with_tables(f"SELECT uid, {_null('narrative_le')}, {_null('narrative_cme')} FROM records", "records"),
+)
+def read_split_records(spark, sf):
+    """The same files read in splits; their fields hold line breaks and quotes."""
+    path = scratch_path(spark, "records_csv")
+    writers.write_csv(t.records(spark, sf).toDF("uid", "NarrativeLE", "NarrativeCME"), path)
+    return readers.read_records(spark, path)
+
+
+@query(
+    "write_submission_file",
+    t.with_tables(
+        "SELECT c.uid, "
+        + ", ".join(f"COALESCE(w.quality, c.{c}) AS {c}" if c == "DepressedMood" else f"c.{c}" for c in CODING_SPEC.columns)
+        + ", CAST(row_number() OVER (ORDER BY c.uid) - 1 AS BIGINT) AS template_pos "
+        "FROM coded c LEFT JOIN labels_wide w ON c.uid = w.uid",
+        "coded",
+        "labels_wide",
+    ),
+)
+def write_submission_file(spark, sf):
+    """Template of all documents as one file with one header, read back in order."""
+    template_path, path = scratch_path(spark, "template_csv"), scratch_path(spark, "submission.csv")
+    writers.write_csv(t.coded(spark, sf).orderBy("uid"), template_path)
+    preds = t.labels_wide(spark, sf).select("uid", F.col("quality").alias("DepressedMood"))
+    writers.write_submission_file(preds, readers.read_template(spark, template_path), path, ["DepressedMood"])
+    return readers.read_template(spark, path)
+
+
 _coded_cols = ", ".join(CODING_SPEC.columns)
 
 

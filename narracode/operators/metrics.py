@@ -37,6 +37,32 @@ def f1_binary(preds: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
     return confusion(preds, by).select(*by, f1.alias("f1"))
 
 
+def evaluation_report(preds: DataFrame) -> DataFrame:
+    """``level, fold, label, kind, n, tp, predicted, actual, same, f1`` with sub-totals by fold and
+    label, by label, by kind and over all, in one aggregation.
+
+    Scores come from the counts of their level: binary F1 over all binary decisions where a level has
+    them, the share of equal codes where it has only categorical ones. ``level`` names the level;
+    columns that it sums over are null."""
+    binary = F.col("kind") == "binary"
+    hit, truth = binary & (F.col("y_hat") == 1), binary & (F.col("y") == 1)
+    names = ["fold", "label", "kind"]
+    # the kind goes with its label
+    sets = [["fold", "label", "kind"], ["label", "kind"], ["kind"], []]
+    counted = preds.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(
+        F.grouping_id(*names).alias("_level"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(hit & truth).alias("tp"),
+        F.count_if(hit).alias("predicted"),
+        F.count_if(truth).alias("actual"),
+        F.count_if(F.col("y") == F.col("y_hat")).alias("same"),
+        F.count_if(binary).alias("_binary"),
+    )
+    level = F.when(F.col("_level") == 0, "fold").when(F.col("_level") == 4, "label").when(F.col("_level") == 6, "kind").otherwise("all")
+    f1 = F.when(F.col("_binary") > 0, f1_of_counts(F.col("tp"), F.col("predicted"), F.col("actual"))).otherwise(F.col("same") / F.col("n"))
+    return counted.select(level.alias("level"), *names, "n", "tp", "predicted", "actual", "same", f1.alias("f1"))
+
+
 def f1_macro(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return f1_binary(preds, [*by, "label"]).groupBy(*by).agg(F.avg("f1").alias("f1"))
 

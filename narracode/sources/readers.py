@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narracode.functions.text import tokens_to_null
+from narracode.sources.records import has_broken_records, read_quoted
 from narracode.spec import CODING_SPEC, LabelSpec
 
 RECORD_SCHEMA = "uid string, NarrativeLE string, NarrativeCME string"
@@ -23,9 +24,12 @@ def _csv(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataF
 
 def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """``uid, narrative_le, narrative_cme`` from quoted CSV; spellings of a missing value
-    become null. Files are split over tasks; quoted line breaks need ``multi_line``, which
-    reads each file in one task."""
-    raw = _csv(spark, path, RECORD_SCHEMA, multi_line)
+    become null. Files are split over tasks, also if quoted fields hold line breaks, for which a
+    first pass looks; ``multi_line`` reads each file in one task instead."""
+    if not multi_line and has_broken_records(spark, path):
+        raw = read_quoted(spark, path, RECORD_SCHEMA)
+    else:
+        raw = _csv(spark, path, RECORD_SCHEMA, multi_line)
     return raw.select(
         "uid",
         tokens_to_null(F.col("NarrativeLE")).alias("narrative_le"),

@@ -25,6 +25,31 @@ def write_submission(preds: DataFrame, template: DataFrame, path: str, cols: lis
     write_csv(project_template(filled.orderBy("template_pos"), template_cols), path)
 
 
+def write_one_csv(df: DataFrame, path: str, *order: str) -> None:
+    """One CSV file with one header, rows by ``order``.
+
+    Rows are sorted in ranges by many tasks; one task then writes the ranges one after the other,
+    as one file is one stream, and its file gets the name ``path``. No task holds more than a
+    range, and the driver only renames."""
+    spark = df.sparkSession
+    folder = f"{path}.parts"
+    cols = [c for c in df.columns if c not in order or c != "template_pos"]
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ranged = df.orderBy(*order).select(*cols)
+    ranged.coalesce(1).write.options(header=True, escape='"', **keep).csv(folder)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = [s.getPath() for s in fs.globStatus(fs_path(f"{folder}/part-*"))]
+    if len(part) != 1 or fs.exists(fs_path(path)) or not fs.rename(part[0], fs_path(path)):
+        raise FileExistsError(f"{path} cannot be written")
+    fs.delete(fs_path(folder), True)
+
+
+def write_submission_file(preds: DataFrame, template: DataFrame, path: str, cols: list[str]) -> None:
+    """Predictions in template row and column order as one file."""
+    write_one_csv(assign(template, preds, cols).select(*template.columns), path, "template_pos")
+
+
 def write_lines(records: DataFrame, path: str) -> None:
     """Text lines of both narratives, one folder per ``split``."""
     stack_texts(records).select("line", "split").write.partitionBy("split").text(path)
