@@ -19,6 +19,10 @@ from narracode.functions.text import word_tokens
 from narracode.session import scratch_path, write_table
 
 
+#: Candidate terms that are broadcast at most; they are counted before.
+BROADCAST_TERMS = 2_000_000
+
+
 def english_stop_words() -> list[str]:
     """Spark's own English list."""
     return StopWordsRemover.loadDefaultStopWords("english")
@@ -28,41 +32,45 @@ def by_record(docs: DataFrame) -> DataFrame:
     """The texts, hash-partitioned by record. Their n-grams are a hundred times larger, so the
     number of partitions is that of the session and does not follow the bytes of the texts."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("uid", "text").repartition(parts, "uid")
+    bucket = F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int")
+    return docs.select("uid", "text", bucket.alias("_b")).repartition(parts, "_b")
 
 
-def word_terms(docs: DataFrame, low: int = 1, high: int = 3, stop_words: list[str] | None = None) -> DataFrame:
+def word_terms(
+    docs: DataFrame, low: int = 1, high: int = 3, stop_words: list[str] | None = None, keys: tuple[str, ...] = ("uid",)
+) -> DataFrame:
     """``uid, term, tf`` of word n-grams: runs of ``low`` to ``high`` neighbouring tokens
-    joined by a blank. Stop words leave before the runs are formed."""
+    joined by a blank. Stop words leave before the runs are formed. ``keys`` may add the bucket of
+    records ``_b``."""
     tokens = word_tokens(F.col("text"))
     if stop_words:
         tokens = F.filter(tokens, lambda w: ~w.isin(stop_words))
-    listed = by_record(docs).select("uid", tokens.alias("_t"))
+    listed = by_record(docs).select("_b", "uid", tokens.alias("_t"))
     # no filter on empty lists: it would move below the exchange and tokenise twice
     starts = F.when(F.size("_t") > 0, F.sequence(F.lit(0), F.size("_t") - 1))
-    at = listed.select("uid", "_t", F.explode(starts).alias("_i"))
+    at = listed.select("_b", "uid", "_t", F.explode(starts).alias("_i"))
     runs = [
         F.when(F.col("_i") + n <= F.size("_t"), F.concat_ws(" ", *[F.get("_t", F.col("_i") + k) for k in range(n)]))
         for n in range(low, high + 1)
     ]
-    terms = at.select("uid", F.explode(F.array(*runs)).alias("term")).filter(F.col("term").isNotNull())
-    return terms.groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = at.select("_b", "uid", F.explode(F.array(*runs)).alias("term")).filter(F.col("term").isNotNull())
+    return terms.groupBy("_b", "uid", "term").agg(F.count(F.lit(1)).alias("tf")).select(*keys, "term", "tf")
 
 
-def char_terms(docs: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
+def char_terms(docs: DataFrame, low: int = 3, high: int = 6, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
     """``uid, term, tf`` of character n-grams inside blank-padded words; a padded word no
     longer than n is taken once as it is. Words are counted before they are expanded, and the
     expansion is two generators and a substring, which stay in generated code."""
-    words = by_record(docs).select("uid", F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("word"))
-    counted = words.filter(F.col("word") != "").groupBy("uid", "word").agg(F.count(F.lit(1)).alias("_n"))
+    words = by_record(docs).select("_b", "uid", F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("word"))
+    counted = words.filter(F.col("word") != "").groupBy("_b", "uid", "word").agg(F.count(F.lit(1)).alias("_n"))
     size = F.length("word") + 2
     lengths = F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(F.lit(high), size)))
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    per_length = counted.select("uid", "_n", padded.alias("_p"), size.alias("_s"), F.explode(lengths).alias("_k"))
+    per_length = counted.select("_b", "uid", "_n", padded.alias("_p"), size.alias("_s"), F.explode(lengths).alias("_k"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_s") - F.col("_k") + 1))
-    per_start = per_length.select("uid", "_n", "_p", "_k", F.explode(starts).alias("_i"))
-    terms = per_start.select("uid", "_n", F.substring("_p", F.col("_i"), F.col("_k")).alias("term"))
-    return terms.groupBy("uid", "term").agg(F.sum("_n").alias("tf"))
+    per_start = per_length.select("_b", "uid", "_n", "_p", "_k", F.explode(starts).alias("_i"))
+    terms = per_start.select("_b", "uid", "_n", F.substring("_p", F.col("_i"), F.col("_k")).alias("term"))
+    return terms.groupBy("_b", "uid", "term").agg(F.sum("_n").alias("tf")).select(*keys, "term", "tf")
 
 
 def term_totals(terms: DataFrame) -> DataFrame:
@@ -83,6 +91,44 @@ def top_terms(totals: DataFrame, k: int) -> DataFrame:
     return totals.filter(F.col("tf") >= floor.scalar()).orderBy(F.desc("tf"), "term").limit(k)
 
 
+def bucket_totals(terms: DataFrame) -> DataFrame:
+    """``_b, term, df, tf``: the totals inside each bucket of records. The n-grams already stand by
+    bucket, so nothing is shuffled."""
+    return terms.groupBy("_b", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+def frequent_totals(
+    by_bucket: DataFrame, n_records: Column, min_df: int, max_df: float, k: int, broadcast_terms: int = BROADCAST_TERMS
+) -> DataFrame | None:
+    """``term, df, tf`` of all terms that can be among the ``k`` most frequent within the limits, or
+    None where bounds cannot tell.
+
+    The ``k`` largest terms of each bucket are a summary of it; their exact totals give a count
+    that the k-th term is sure to reach. A term that reaches it must reach the share of one bucket
+    in some bucket, so only such terms are counted exactly. What moves between tasks is bounded by
+    buckets times ``k`` and by these terms; all others, most of them rare, never leave their bucket.
+    Without ``k`` terms in the limits, with a share of one, or with more candidates than
+    ``broadcast_terms``, all totals have to be added up."""
+
+    def exact(candidates: DataFrame) -> DataFrame:
+        known = by_bucket.join(F.broadcast(candidates), "term", "left_semi")
+        return known.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("tf"), "term"))
+    summary = by_bucket.withColumn("_place", place).filter(F.col("_place") <= k).select("term").distinct()
+    summary = write_table(summary, "frequent_terms")
+    if summary.count() > broadcast_terms:
+        return None
+    allowed = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_records)
+    floor = exact(summary).filter(allowed).orderBy(F.desc("tf")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf")).first()
+    buckets = by_bucket.agg(F.count_distinct("_b")).first()[0]
+    if floor["n"] < k or floor["tf"] <= buckets:
+        return None
+    share = -(-floor["tf"] // buckets)
+    candidates = write_table(by_bucket.filter(F.col("tf") >= share).select("term").distinct(), "frequent_terms")
+    return exact(candidates) if candidates.count() <= broadcast_terms else None
+
+
 def fit_vocab(
     terms: DataFrame,
     n_records: int | DataFrame,
@@ -95,10 +141,21 @@ def fit_vocab(
 
     ``n_records`` is the number of records or a one-row table with it. The term totals are
     written once, since the limits and the ids read them more than once and the n-grams behind
-    them are the expensive part.
+    them are the expensive part. Terms with their bucket of records ``_b`` are added up inside the
+    buckets, and only those that can be among the most frequent are added up over all of them.
     """
     n = n_records.scalar() if isinstance(n_records, DataFrame) else F.lit(n_records)
-    totals = write_table(term_totals(terms), "term_totals")
+    if "_b" in terms.columns:
+        by_bucket = write_table(bucket_totals(terms), "bucket_totals")
+        totals = None
+        if max_features is not None:
+            count = n_records.first()[0] if isinstance(n_records, DataFrame) else n_records
+            totals = frequent_totals(by_bucket, F.lit(count), min_df, max_df, max_features)
+        if totals is None:
+            totals = by_bucket.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+        totals = write_table(totals, "term_totals")
+    else:
+        totals = write_table(term_totals(terms), "term_totals")
     kept = totals.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
     if max_features is not None:
         kept = top_terms(kept, max_features)

@@ -171,11 +171,11 @@ class FeatureOptions:
     max_features: int = 100_000
     stop_words: tuple[str, ...] = ()
 
-    def words(self, docs: DataFrame) -> DataFrame:
-        return word_terms(docs, *self.word_range, list(self.stop_words))
+    def words(self, docs: DataFrame, *keys: str) -> DataFrame:
+        return word_terms(docs, *self.word_range, list(self.stop_words), keys=(*keys, "uid"))
 
-    def chars(self, docs: DataFrame) -> DataFrame:
-        return char_terms(docs, *self.char_range)
+    def chars(self, docs: DataFrame, *keys: str) -> DataFrame:
+        return char_terms(docs, *self.char_range, keys=(*keys, "uid"))
 
 
 @dataclass
@@ -192,8 +192,8 @@ class TextFeatures:
     def fit(cls, docs: DataFrame, options: FeatureOptions = FeatureOptions()) -> TextFeatures:
         n = docs.select(F.count(F.lit(1)).alias("n"))
         limits = (n, options.min_df, options.max_df, options.max_features)
-        word = write_table(fit_vocab(options.words(docs), *limits), "word_vocab")
-        char = write_table(fit_vocab(options.chars(docs), *limits), "char_vocab")
+        word = write_table(fit_vocab(options.words(docs, "_b"), *limits), "word_vocab")
+        char = write_table(fit_vocab(options.chars(docs, "_b"), *limits), "char_vocab")
         return cls(options, word, char, word.count(), char.count())
 
     def save(self, path: str) -> None:
