@@ -19,9 +19,9 @@ from narracode.operators.thresholds import running_best, threshold_search
 from narracode.spec import CODING_SPEC
 
 # queries that run a Python hook or build vectors
-PYTHON = {"answer_batches", "code_records", "score_batches"}
+PYTHON = {"answer_batches", "running_best_events", "code_records", "score_batches"}
 # queries that fit models when they are built are covered in test_models
-FITS = {"fit_linear", "fit_boosted", "cross_val_predict", "chain_feature", "fit_predict_all", "train_with_external", "mixed_registry"}
+FITS = {"fit_linear", "fit_linear_source", "fit_boosted", "cross_val_predict", "chain_feature", "fit_predict_all", "train_with_external", "mixed_registry"}
 
 
 def plan(df) -> str:
