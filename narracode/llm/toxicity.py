@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from narracode.llm.words import CACHED_WORDS, WordRows, blocks
+from narracode.llm.words import WordRows, blocks
 from narracode.session import write_table
 
 #: Longest run of characters, and the orders that both classes share.
@@ -36,6 +36,12 @@ WORST = 3
 #: One training row in so many is set aside for the curve, and at most so many of them are used.
 ASIDE, CURVE_ROWS = 5, 20_000
 THRESHOLD = 0.7
+#: Steepness of the score in the normalised difference where there is nothing to fit the curve on.
+STEEP = 4.0
+#: Different words of the texts that a task holds before it lets go of their runs.
+HELD_WORDS = 1_200_000
+#: Parts up to which each gets a task of its own.
+SPREAD_PARTS = 4_096
 #: Characters of the texts whose runs and scores meet in one task, and the least number of such parts.
 PART_CHARS, MIN_PARTS = 32 << 20, 8
 
@@ -175,7 +181,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if t:
                 words.setdefault(part, set()).update(t.split())
-        if sum(map(len, words.values())) > CACHED_WORDS:
+        if sum(map(len, words.values())) > HELD_WORDS:
             yield from put()
     yield from put()
 
@@ -194,6 +200,13 @@ def _score_part(docs: pa.Table, scores: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "x": pa.array(out, pa.list_(pa.float64()))})
 
 
+def part_names(spark: SparkSession, parts: int) -> list[int]:
+    """A name for each part such that Spark's hash deals every part to a task of its own."""
+    names = spark.range(40 * parts).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("to"))
+    found = {r["to"]: r["id"] for r in names.groupBy("to").agg(F.min("id").alias("id")).collect()}
+    return [found.get(p, p) for p in range(parts)]
+
+
 def features(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """``doc_id, x`` for the whole text of every row.
 
@@ -203,7 +216,10 @@ def features(docs: DataFrame, counts: DataFrame) -> DataFrame:
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
     parts = max(MIN_PARTS, -(-chars // PART_CHARS))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    texts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    if parts <= SPREAD_PARTS:
+        part = F.get(F.array(*[F.lit(p) for p in part_names(docs.sparkSession, parts)]), part)
+    texts = texts.withColumn("part", part)
     scores = run_scores(texts.withColumn("part", F.lit(0)).mapInArrow(_runs_of, "part int, run string").select("run"), counts)
     dealt = texts.repartition(parts, "part")
     met = dealt.mapInArrow(_runs_of, "part int, run string").join(scores, "run").select("part", "run", "score").repartition(parts, "part")
@@ -213,10 +229,11 @@ def features(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights, the constant last, by Newton steps with a small ridge. Without rows of
-    both classes the score is the share of class 1, or one half."""
+    both classes the score rises with the normalised difference of the whole text, from the share of
+    class 1, or one half."""
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
-        return np.r_[np.zeros(_FEATURES), np.log((share + 0.01) / (1.01 - share))]
+        return np.r_[STEEP, np.zeros(_FEATURES - 1), np.log((share + 0.01) / (1.01 - share))]
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[(x - mean) / spread, np.ones(len(x))]
     w = np.zeros(z.shape[1])
@@ -235,12 +252,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_R
     Learns from rows of ``labels`` (``doc_id, toxic``) whose id does not fall into the held-out
     part; missing labels teach nothing, several labels of an id count as often as they stand
     there. A missing or empty text is scored as a text without words. The curve is fitted on at
-    most about ``curve_rows`` rows, chosen by a hash of the id. Without any label the score is
-    one half.
+    most about ``curve_rows`` rows, chosen by a hash of the id, with one of each class at least where
+    a class has two. Without any label the score is one half.
     """
     known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_lid"), F.col("toxic").cast("int").alias("class"))
     known = known.filter(~held_out(F.col("_lid")))
-    aside = F.pmod(F.xxhash64(F.col("_lid").cast("string")), F.lit(ASIDE)) == 0
+    drawn = F.xxhash64(F.col("_lid").cast("string"))
+    aside = F.pmod(drawn, F.lit(ASIDE)) == 0
+    # a class that the draw misses gives the row with the least hash, if it has another
+    for r in known.withColumn("_h", drawn).groupBy("class").agg(F.count_if(aside).alias("n"), F.min("_h").alias("h"), F.max("_h").alias("most")).collect():
+        if not r["n"] and r["h"] < r["most"]:
+            aside = aside | ((F.col("class") == r["class"]) & (drawn == r["h"]))
     learn = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
     rows = learn.join(known.filter(~aside), F.col("doc_id") == F.col("_lid"))
     found = write_table(features(docs, fit_counts(rows)), "toxicity")

@@ -109,3 +109,24 @@ def test_languages_without_a_cap_and_letters(spark):
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     assert got[5000].lang_pred == "und" and got[5000].score == 0
     assert len({r.lang_pred for r in got.values()}) > 257
+
+
+def test_toxicity_scores_differ_on_few_labels(spark, sf):
+    """Few toxic rows may be learned from, and a plain draw would set none of them aside."""
+    from narracode.llm.queries import QUERIES
+
+    got = QUERIES["op5_toxicity"](spark, sf).toPandas()
+    truth = spark.read.parquet(f"{sf}/labels.parquet").toPandas().set_index("doc_id").toxic
+    known = got[got.held_out & got.doc_id.isin(truth.index)]
+    toxic = truth[known.doc_id].to_numpy() == 1
+    assert got.score.nunique() > 100
+    assert known.score[toxic].mean() > known.score[~toxic].mean()
+    x, y = np.array([[0.1, 0, 0, 0, 0], [0.4, 0, 0, 0, 0]]), np.zeros(2)
+    w = toxicity.fit_curve(x, y)
+    assert (np.c_[x, np.ones(2)] @ w)[1] > (np.c_[x, np.ones(2)] @ w)[0]
+
+
+def test_every_part_has_a_task_of_its_own(spark):
+    names = toxicity.part_names(spark, 25)
+    rows = spark.createDataFrame([(n,) for n in names], "part int").repartition(25, "part")
+    assert rows.selectExpr("spark_partition_id() p").distinct().count() == 25
