@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -368,6 +370,9 @@ def all_spans(texts: list[str], field: RandomField) -> list[tuple[list[Span], li
             tokens.append(found)
             features.append(_long_features(found))
     added: dict[int, list[Span]] = {}
+    # base spans by start, and the greatest end so far; windows follow each other, and so do added spans
+    starts = [[s for s, _, _ in sorted(b)] for b in base]
+    ends = [list(accumulate((e for _, _, e in sorted(b)), max)) for b in base]
     for i, found, tags in zip(places, tokens, field.decode(features), strict=True):
         at = 0
         while at < len(tags):
@@ -377,7 +382,9 @@ def all_spans(texts: list[str], field: RandomField) -> list[tuple[list[Span], li
                 while end < len(tags) and tags[end] == 2 + 2 * kind:
                     end += 1
                 a, b = found[at][0], found[end - 1][1]
-                free = all(b <= s or e <= a for s, _, e in base[i] + added.get(i, []))
+                before = bisect_left(starts[i], b)
+                mine = added.get(i)
+                free = (not before or ends[i][before - 1] <= a) and (not mine or mine[-1][2] <= a)
                 if free and _CHECKS[kind](texts[i][a:b]):
                     added.setdefault(i, []).append((a, kind, b))
             at = end
