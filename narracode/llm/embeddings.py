@@ -3,14 +3,16 @@
 Equal vectors are one class and are indexed once. Classes are dealt over shards; each shard
 builds one graph with layers, and every class is searched in every shard. A search keeps a beam
 of the best vertices seen and ends when all of the beam are expanded. The beam of a query
-is widened while all of it lies above the threshold, and the beams of all queries are widened
-until audits pass: for a sample of queries the whole shard is compared, and the searches must
+is widened while all of it lies above the threshold; past ``WIDEST`` it is the whole shard, which
+products of matrices go through in blocks. The beams of all queries are widened until audits
+pass: for a sample of queries the whole shard is compared, and the searches must
 have found the links that this shows. Each vertex also has a parent, a first child and a next
 sibling that are never cut, so every vertex can be reached. Links are verified by cosine in double
 precision.
 
-A task sends on a count per query and a spanning forest of its links, never all pairs. Shards and
-blocks of queries have a fixed size, so a task's memory does not grow with the data; the number
+Links are counted and united as they are found and are not kept, so a dense group costs time but
+no memory. A task sends on a count per query and a spanning forest of its links, never all pairs.
+Shards and blocks of queries have a bounded number of rows and bytes, so a task's memory does not grow with the data; the number
 of pairs of a shard and a block does, as every shard must be asked.
 """
 
@@ -29,8 +31,14 @@ from narracode.session import write_table
 COSINE = 0.95
 #: Vectors of a shard and of a block of queries at most, and the least numbers of both.
 SHARD_ROWS, MIN_SHARDS, MIN_BLOCKS = 65_536, 8, 2
+#: Bytes of the vectors of a shard or block at most.
+SHARD_BYTES = 64 << 20
 #: Links of a vertex (twice as many in the lowest layer), and beam widths to start with.
 LINKS, BUILD_BEAM, BEAM = 12, 40, 24
+#: Beams are searched up to this width; a query that needs more is compared with the whole shard.
+WIDEST = 96
+#: Cosines of a matrix product at once; those this near the limit are computed again one by one.
+CELLS, BORDER = 4_000_000, 1e-9
 #: Vertices expanded at once, queries searched at once, vertices inserted at once.
 STEP, TOGETHER, BATCH = 4, 512, 256
 AUDITS, AUDIT_RECALL = 256, 0.999
@@ -225,12 +233,75 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _matches(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, limit: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Query numbers and vertex numbers of verified links. Beams that lie wholly above the limit
-    are widened."""
+class LinkSums:
+    """Links of a block's queries with a shard's vectors, summed as they come: the copies that
+    each query links with, and the sets of numbers that links unite. A query that lies in the
+    shard has the number of its vertex, any other one a number after these."""
+
+    def __init__(self, copies: np.ndarray, self_at: np.ndarray):
+        n, m = len(copies), len(self_at)
+        self.copies, self.self_at = copies, self_at
+        self.number = np.where(self_at >= 0, self_at, np.arange(m) + n)
+        #: Vertices found and copies linked, per query.
+        self.found, self.linked = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        self.up = np.arange(n + m)
+
+    def _unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.up[a], self.up[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                shorter = self.up[self.up]
+                if np.array_equal(shorter, self.up):
+                    break
+                self.up = shorter
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Links of query numbers and vertex numbers, each given once."""
+        m = len(self.found)
+        self.found += np.bincount(left, minlength=m)
+        other = self.self_at[left] != right
+        left, right = left[other], right[other]
+        self.linked += np.bincount(left, self.copies[right], m).astype(np.int64)
+        self._unite(self.number[left], right)
+
+    def add_matrix(self, queries: np.ndarray, linked: np.ndarray) -> None:
+        """Links of some query numbers (rows) with all vertices (columns)."""
+        self.found[queries] += linked.sum(axis=1)
+        own = np.flatnonzero(self.self_at[queries] >= 0)
+        linked[own, self.self_at[queries[own]]] = False
+        self.linked[queries] += (linked @ self.copies.astype(np.float64)).astype(np.int64)
+        # only vertices of another set than the row's first one unite anything
+        roots, some = self.up[: len(self.copies)], linked.any(axis=1)
+        first = np.where(some, roots[linked.argmax(axis=1)], self.number[queries])
+        self._unite(self.number[queries[some]], first[some])
+        r, c = np.nonzero(linked & (roots[None, :] != first[:, None]))
+        self._unite(first[r], c)
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers that are not the least of their set, and the least."""
+        x = np.flatnonzero(self.up != np.arange(len(self.up)))
+        return x, self.up[x]
+
+
+def _linked(queries: np.ndarray, exact: np.ndarray, limit: float) -> np.ndarray:
+    """Whether each query (row) and vector (column) are linked. Cosines at the limit's border
+    are summed as those of single links are, so a pair has one answer."""
+    cosine = queries @ exact.T
+    out = cosine >= limit
+    r, c = np.nonzero(np.abs(cosine - limit) < BORDER)
+    out[r, c] = np.einsum("ij,ij->i", queries[r], exact[c]) >= limit
+    return out
+
+
+def _matches(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, limit: float, width: int, sums: LinkSums) -> None:
+    """Add all verified links that beams of ``width`` find. Beams that lie wholly above the limit
+    are widened; past ``WIDEST`` the queries are compared with the whole shard."""
     q32 = queries.astype(np.float32)
-    todo, left, right = np.arange(len(queries)), [], []
-    while len(todo):
+    todo = np.arange(len(queries))
+    while len(todo) and width <= WIDEST:
         again = []
         # wide beams are searched for fewer queries at once
         some = max(1, TOGETHER * BEAM // width)
@@ -241,53 +312,31 @@ def _matches(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, limit: f
             again.append(part[full])
             r, c = np.nonzero((sims >= limit - 1e-3) & ~full[:, None])
             a, b = part[r], ids[r, c]
-            for j in range(0, len(a), 100_000):
-                aa, bb = a[j : j + 100_000], b[j : j + 100_000]
-                ok = np.einsum("ij,ij->i", queries[aa], exact[bb]) >= limit
-                left.append(aa[ok])
-                right.append(bb[ok])
+            ok = np.einsum("ij,ij->i", queries[a], exact[b]) >= limit
+            sums.add(a[ok], b[ok])
         todo, width = np.concatenate(again), width * 2
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    rows = max(1, CELLS // len(exact))
+    for i in range(0, len(todo), rows):
+        part = todo[i : i + rows]
+        sums.add_matrix(part, _linked(queries[part], exact, limit))
 
 
-def find_links(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of all queries, with beams widened until the audits pass."""
+def find_links(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, limit: float, copies: np.ndarray, self_at: np.ndarray) -> LinkSums:
+    """Links of all queries, with beams widened until the audits pass. ``self_at`` is the vertex
+    that a query is itself, or -1."""
     sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITS, len(queries))).astype(np.int64))
-    truth = set()
-    for i in range(0, len(sample), 64):
-        r, c = np.nonzero(queries[sample[i : i + 64]] @ exact.T >= limit)
-        truth |= set(zip(sample[i + r].tolist(), c.tolist(), strict=True))
+    truth, rows = 0, max(1, CELLS // len(exact))
+    for i in range(0, len(sample), rows):
+        truth += int(_linked(queries[sample[i : i + rows]], exact, limit).sum())
     width = BEAM
     while True:
-        left, right = _matches(graph, exact, queries, limit, width)
-        audited = np.isin(left, sample)
-        found = set(zip(left[audited].tolist(), right[audited].tolist(), strict=True))
-        if len(found & truth) >= AUDIT_RECALL * len(truth) or width >= len(exact):
-            return left, right
+        sums = LinkSums(copies, self_at)
+        _matches(graph, exact, queries, limit, width, sums)
+        if sums.found[sample].sum() >= AUDIT_RECALL * truth or width > WIDEST:
+            return sums
         width *= 2
 
 
-def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of links between numbers."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = root(a), root(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("_c", kind="stable")
     exact = np.stack([np.asarray(v, np.float64) for v in pdf["_v"]])
@@ -317,22 +366,18 @@ def _ask(limit: float):
         block = block.sort_values("_c", kind="stable")
         own = [bytes(c) for c in block["_c"]]
         queries = _unit(np.stack([np.asarray(v, np.float64) for v in block["_v"]]))
-        left, right = find_links(graph, exact, queries, limit)
         number = {bytes(k): i for i, k in enumerate(keys)}
         self_at = np.array([number.get(c, -1) for c in own])
-        other = self_at[left] != right
-        left, right = left[other], right[other]
-        counts = np.bincount(left, copies[right], len(own)).astype(np.int64)
-        # queries that lie in the shard are the same vertices as there
-        as_number = np.where(self_at >= 0, self_at, np.arange(len(own)) + len(keys))
-        edges = _forest(as_number[left], right)
+        sums = find_links(graph, exact, queries, limit, copies, self_at)
+        counts = sums.linked
+        node, root = sums.forest()
         name = lambda i: bytes(keys[i]) if i < len(keys) else own[i - len(keys)]
         linked = np.flatnonzero(counts)
         return pd.DataFrame(
             {
-                "_a": [name(a) for a, _ in edges] + [own[i] for i in linked],
-                "_b": [name(b) for _, b in edges] + [None] * len(linked),
-                "_links": [0] * len(edges) + [int(counts[i]) for i in linked],
+                "_a": [name(a) for a in node] + [own[i] for i in linked],
+                "_b": [name(b) for b in root] + [None] * len(linked),
+                "_links": [0] * len(node) + [int(counts[i]) for i in linked],
             },
             columns=columns,
         )
@@ -356,8 +401,9 @@ def link_vectors(vectors: DataFrame, limit: float = COSINE) -> DataFrame:
     members = rows.select("vec_id", "_c")
     kinds = rows.filter(F.col("_c").isNotNull()).groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.first("_v").alias("_v"))
     kinds = write_table(kinds.withColumn("_dim", F.size("_v")), "vector_kinds")
-    n = kinds.count()
-    shards, blocks = max(MIN_SHARDS, -(-n // SHARD_ROWS)), max(MIN_BLOCKS, -(-n // SHARD_ROWS))
+    n, longest = kinds.agg(F.count(F.lit(1)), F.coalesce(F.max("_dim"), F.lit(1))).first()
+    each = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * longest)))
+    shards, blocks = max(MIN_SHARDS, -(-n // each)), max(MIN_BLOCKS, -(-n // each))
     sharded = kinds.withColumn("_shard", F.pmod(F.xxhash64("_c"), F.lit(shards)).cast("int"))
     schema = "_dim int, _shard int, _keys binary, _copies binary, _vectors binary, _graph binary"
     graphs = write_table(sharded.groupBy("_dim", "_shard").applyInPandas(_build, schema), "vector_graphs")
