@@ -15,6 +15,8 @@ from narracode.session import write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
+#: Hash of the window that begins with word ``x`` at ``i`` of ``_w``.
+WINDOW_HASH = "xxhash64(x, get(_w, i + 1), get(_w, i + 2))"
 #: A host is rejected if the shrunk failure rate of any rule is above this.
 MAX_FAILURE_RATE = 0.5
 #: Limits of the prior's strength, in documents.
@@ -29,7 +31,8 @@ def text_counts(rows: DataFrame, text: str = "_text") -> DataFrame:
     counts as none.
 
     A three-word window is a hash with its position in the low bits, so one sort of numbers per
-    text finds the windows that occur twice. The hash keeps all bits that the position leaves.
+    text finds the windows that may occur twice. Only these are then sorted by their words, and
+    equal neighbours are repeats: the count is exact whatever the hashes.
     """
     rows = rows.withColumn("_s", F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumn("_w", F.regexp_extract_all("_s", F.lit(WORD), F.lit(0)))
@@ -44,15 +47,19 @@ def text_counts(rows: DataFrame, text: str = "_text") -> DataFrame:
             "_bits": F.ceil(F.log2(F.size("_w") + 2)).cast("int"),
         }
     )
-    window = "xxhash64(x, get(_w, i + 1), get(_w, i + 2))"
     rows = rows.withColumn(
         "_keys",
-        F.expr(f"sort_array(transform(slice(_w, 1, greatest(size(_w) - 2, 0)), (x, i) -> shiftleft({window}, _bits) | i))"),
+        F.expr(f"sort_array(transform(slice(_w, 1, greatest(size(_w) - 2, 0)), (x, i) -> shiftleft({WINDOW_HASH}, _bits) | i))"),
     )
     same = "shiftrightunsigned(x, _bits) = shiftrightunsigned(get(_keys, {}), _bits)"
     twice = f"filter(_keys, (x, i) -> coalesce({same.format('i + 1')}, false) or coalesce({same.format('i - 1')}, false))"
-    rows = rows.withColumn("_at", F.expr(f"sort_array(transform({twice}, x -> x & (shiftleft(1L, _bits) - 1)))"))
-    covered = "transform(_at, (p, i) -> least(3L, coalesce(get(_at, i + 1) - p, 3L)))"
+    place = "cast(x & (shiftleft(1L, _bits) - 1) as int)"
+    words = f"transform({twice}, x -> named_struct('a', get(_w, {place}), 'b', get(_w, {place} + 1), 'c', get(_w, {place} + 2), 'p', {place}))"
+    equal = "coalesce(y.a = get(s, {0}).a and y.b = get(s, {0}).b and y.c = get(s, {0}).c, false)"
+    sure = f"filter(s, (y, i) -> {equal.format('i + 1')} or {equal.format('i - 1')})"
+    # a one-element array names the sorted windows
+    rows = rows.withColumn("_at", F.expr(f"sort_array(get(transform(array(sort_array({words})), s -> transform({sure}, y -> y.p)), 0))"))
+    covered = "transform(_at, (p, i) -> least(3, coalesce(get(_at, i + 1) - p, 3)))"
     rows = rows.withColumn("n_repeat_words", F.expr(f"aggregate({covered}, 0L, (a, x) -> a + x)"))
     return rows.drop("_s", "_w", "_lines", "_bits", "_keys", "_at")
 
@@ -116,14 +123,15 @@ def judge(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Rows are written once beside their counts; hosts are summed from the counts alone.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    host, text = F.col("source").alias("_host"), F.col("text").alias("_text")
-    features = write_table(text_counts(docs.select(host, text)).drop("_text"), "quality")
-    bad = host_verdicts(features, max_rate).filter("_rejected").select(F.col("_host").alias("_judged"))
-    # a generator keeps the counts below it computed once; a filter would be moved into them
-    counted = text_counts(docs.select(row, host, text))
-    passed = counted.select(F.inline(F.when(~base_failed(), F.array(F.struct("_row", "_host")))))
+    rows = docs.select(row, F.col("source").alias("_host"), F.col("text").alias("_text"))
+    counted = write_table(text_counts(rows).drop("_text"), "quality")
+    bad = host_verdicts(counted, max_rate).filter("_rejected").select(F.col("_host").alias("_judged"))
+    passed = counted.filter(~base_failed())
     return passed.join(bad, F.col("_host") == F.col("_judged"), "left_anti").select("_row.*")
 
 
