@@ -67,10 +67,33 @@ def test_graph_finds_neighbours():
     rng = np.random.default_rng(1)
     x = embeddings._unit(rng.normal(size=(1500, 16)))
     x[700:1100] = embeddings._unit(x[700] + 0.02 * rng.normal(size=(400, 16)))
-    left, right = embeddings.find_links(embeddings.SmallWorld.build(x.astype(np.float32)), x, x, 0.95)
-    truth = set(zip(*[a.tolist() for a in np.nonzero(x @ x.T >= 0.95)], strict=True))
-    found = set(zip(left.tolist(), right.tolist(), strict=True))
-    assert found <= truth and len(found) >= 0.99 * len(truth)
+    copies = rng.integers(1, 5, len(x))
+    sums = embeddings.find_links(embeddings.SmallWorld.build(x.astype(np.float32)), x, x, 0.95, copies, np.arange(len(x)))
+    near = x @ x.T >= 0.95
+    assert (sums.found <= near.sum(axis=1)).all() and sums.found.sum() >= 0.99 * near.sum()
+    # the dense group is compared with the whole shard
+    assert (sums.linked[700:1100] == (near @ copies - copies)[700:1100]).all()
+
+
+def test_links_in_pieces_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    n, m = 60, 40
+    for share in (0.005, 0.02, 0.3):
+        near, copies = rng.random((m, n)) < share, rng.integers(1, 4, n)
+        self_at = np.where(np.arange(m) < 25, rng.permutation(n)[:m], -1)
+        sums = embeddings.LinkSums(copies, self_at)
+        sums.add(*np.nonzero(near[:20]))
+        sums.add_matrix(np.arange(20, m), near[20:].copy())
+        assert (sums.found == near.sum(axis=1)).all()
+        own = np.zeros((m, n), bool)
+        own[np.arange(m)[self_at >= 0], self_at[self_at >= 0]] = True
+        assert (sums.linked == (near & ~own) @ copies).all()
+        least = np.arange(n + m)
+        for _ in range(n + m):
+            for i, j in zip(*np.nonzero(near & ~own), strict=True):
+                a, b = sums.number[i], j
+                least[a] = least[b] = min(least[a], least[b])
+        assert (sums.up == least).all()
 
 
 # ------------------------------------------------ pieces
@@ -239,7 +262,48 @@ def test_repeated_lines_go(spark):
     line = "this line of text is long enough to take part, éß"
     texts = [f"{line}\nfirst", f"second\n{line[:-1]}x\n{line}", f"{line[2:]}", "short\nshort", f"{line[:20]} and something else altogether"]
     got = {r.doc_id: (r.text, r.n_chars) for r in lines.drop_repeats(docs_of(spark, texts)).collect()}
-    assert got == {0: (texts[0], len(texts[0])), 1: ("second", 6), 3: (texts[3], 11), 4: (texts[4], len(texts[4]))}
+    assert got == {0: (texts[0], len(texts[0])), 1: ("second", 6), 3: ("short", 5), 4: (texts[4], len(texts[4]))}
+
+
+def test_edits_follow_the_length(spark):
+    rng = random.Random(4)
+    texts = []
+    for n in [*range(1, 9), 11, 11, 12, 12, 13, 14, 22, 23, 23, 24, 24, 25, 26, 27, 36, 48]:
+        line = "".join(rng.choice("abcdefgh") for _ in range(n))
+        texts.append(line)
+        for _ in range(4):
+            changed = list(line)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(changed) + 1)
+                changed[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+            texts.append("".join(changed))
+    texts = [t for t in texts if t] + texts[:3]
+
+    def linked(a, b):
+        table = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, table = table, [i]
+            for j, y in enumerate(b, 1):
+                table.append(min(before[j] + 1, table[-1] + 1, before[j - 1] + (x != y)))
+        return table[-1] <= min(2, min(len(a), len(b)) // 12)
+
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(texts):
+            for j in range(i):
+                if least[i] != least[j] and abs(len(a) - len(texts[j])) <= 2 and linked(a, texts[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = lines.find_repeats(docs_of(spark, texts)).collect()
+    assert {r.doc_id: r.class_doc_id for r in got} == dict(enumerate(least))
+
+
+def test_a_frequent_line_is_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_ROWS", 3)
+    texts = ["a line that very many documents have\nown line of " + "abcdefghijkl"[i] * 30 for i in range(12)]
+    got = lines.find_repeats(docs_of(spark, texts)).collect()
+    assert len(got) == 24
+    assert {(r.class_doc_id, r.kept) for r in got if r.line_no == 0} == {(0, True), (0, False)}
+    assert all(r.kept for r in got if r.line_no == 1)
 
 
 # ------------------------------------------------ personal data

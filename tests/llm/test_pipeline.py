@@ -47,9 +47,14 @@ def brute(rows):
         covered = {k for p, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for k in (p, p + 1, p + 2)}
         if len(words) >= 50 and 2 * len(covered) <= len(words):
             texts[i] = t
-    places = [(i, p) for i in sorted(texts) for p, s in enumerate(texts[i].split("\n")) if len(s) >= 24]
+    places = [(i, p) for i in sorted(texts) for p, s in enumerate(texts[i].split("\n")) if s.strip()]
     line = {(i, p): texts[i].split("\n")[p] for i, p in places}
-    first = roots(places, lambda a, b: abs(len(line[a]) - len(line[b])) <= 2 and distance(line[a], line[b]) <= 2)
+
+    def repeats(a, b):
+        a, b = line[a], line[b]
+        return a == b or abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) // 12)
+
+    first = roots(places, repeats)
     for i in list(texts):
         lost = {p for (d, p), r in first.items() if d == i and r != (d, p)}
         if lost:

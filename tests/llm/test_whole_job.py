@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 
-from narracode.llm import packing, personal, toxicity
+from narracode.llm import embeddings, packing, personal, quality, toxicity
 from narracode.llm.queries import byte_bpe
 from tests.llm.conftest import docs_of
 
@@ -130,3 +130,41 @@ def test_every_part_has_a_task_of_its_own(spark):
     names = toxicity.part_names(spark, 25)
     rows = spark.createDataFrame([(n,) for n in names], "part int").repartition(25, "part")
     assert rows.selectExpr("spark_partition_id() p").distinct().count() == 25
+
+
+def test_repeated_windows_are_compared_by_their_words(spark, monkeypatch):
+    """Also where all windows have one hash."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (2, 3, 6, 12, 25, 60, 150)]
+    docs = docs_of(spark, texts).withColumnRenamed("text", "_text")
+
+    def plain(text):
+        w = text.split()
+        seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        return len({k for p, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if seen[x] > 1 for k in (p, p + 1, p + 2)})
+
+    want = [plain(t) for t in texts]
+    for hashed in (None, "cast(0 as bigint)"):
+        if hashed:
+            monkeypatch.setattr(quality, "WINDOW_HASH", hashed)
+        got = {r.doc_id: r.n_repeat_words for r in quality.text_counts(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_long_text_without_repeated_windows(spark):
+    n = 1_000_000
+    text = " ".join(map(str, range(n)))
+    row = quality.text_counts(docs_of(spark, [text, text + " 5 6 7"]).withColumnRenamed("text", "_text")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_repeat_words) for r in row] == [(n, 0), (n + 3, 6)]
+
+
+def test_a_third_of_the_vectors_in_one_dense_group(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6_000, 32))
+    x[::3] = x[0] + 0.02 * rng.normal(size=(2_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embeddings.link_vectors(df).toPandas().sort_values("vec_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    assert got.n_links.tolist() == (near.sum(axis=1) - 1).tolist()
+    assert (got.component_id.to_numpy()[::3] == 0).all() and got.kept.sum() == 4_001
