@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from narracode.functions.numeric import hex_uniform
 from narracode.functions.text import words
 
+#: Vocabularies up to this many words are broadcast.
+BROADCAST_WORDS = 1_000_000
+
 
 def stack_texts(records: DataFrame) -> DataFrame:
     """``part, uid, line_no, line``: lines of the first narrative, then those of the second;
@@ -40,12 +43,16 @@ def mask_tokens(
     drawn = keyed.withColumn(
         "_how", F.when(pick < p, F.when(how < 0.8, "mask").when(how < 0.9, "random").otherwise("keep"))
     )
-    # only the tokens that become another word are joined; the others do not move
     is_random = F.coalesce(F.col("_how") == "random", F.lit(False))
     pool = vocab.select(F.col("term_id").alias("_random_id"), F.col("term").alias("_random"))
-    replaced = drawn.filter(is_random).withColumn("_random_id", random_id).join(pool, "_random_id", "left")
-    others = drawn.filter(~is_random).withColumn("_random", F.lit(None).cast("string"))
-    joined = others.unionByName(replaced.drop("_random_id"))
+    if vocab_size <= BROADCAST_WORDS:
+        pool = F.broadcast(pool.filter(F.col("_random_id") < vocab_size))
+        joined = drawn.withColumn("_random_id", F.when(is_random, random_id)).join(pool, "_random_id", "left")
+    else:
+        # only the tokens that become another word are joined; the others do not move
+        replaced = drawn.filter(is_random).withColumn("_random_id", random_id).join(pool, "_random_id", "left")
+        others = drawn.filter(~is_random).withColumn("_random", F.lit(None).cast("string"))
+        joined = others.unionByName(replaced.drop("_random_id"))
     token = (
         F.when(F.col("_how") == "mask", F.lit("[MASK]"))
         .when(F.col("_how") == "random", F.col("_random"))

@@ -82,10 +82,15 @@ def exclude_seen(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.join(test, "uid", "left_anti")
 
 
-def align(df: DataFrame, order: DataFrame) -> DataFrame:
+def align(df: DataFrame, order: DataFrame, strict: bool = False) -> DataFrame:
     """Rows of ``order`` with the columns of ``df``; keys without a row stay with nulls and
-    are counted by :func:`validate`."""
-    return order.join(df, "uid", "left")
+    are counted by :func:`validate`. With ``strict`` such a key fails the job and is named."""
+    if not strict:
+        return order.join(df, "uid", "left")
+    joined = order.join(df.withColumn("_there", F.lit(True)), "uid", "left")
+    missing = F.raise_error(F.concat(F.lit("no row for uid "), F.coalesce(F.col("uid").cast("string"), F.lit("null"))))
+    checked = F.when(F.col("_there").isNotNull(), F.col("uid")).otherwise(missing)
+    return joined.withColumn("uid", checked).drop("_there")
 
 
 def assign(template: DataFrame, preds: DataFrame, cols: list[str]) -> DataFrame:

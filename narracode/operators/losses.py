@@ -177,12 +177,13 @@ def _in_ranges(df: DataFrame, blocks: DataFrame, error: str, ranges: int) -> Dat
     if ranges < 2:
         return blocks.withColumn("_range", F.lit(0))
     probabilities = [i / ranges for i in range(1, ranges)]
-    sketch = df.agg(F.percentile_approx(error, probabilities, 4 * ranges).alias("_limits")).scalar()
     width = max(2, round(ranges**0.5))
-    named = blocks.withColumn("_limits", sketch)
-    every = F.filter("_limits", lambda x, i: i % width == width - 1)
-    named = named.withColumn("_coarse", F.size(F.filter(every, lambda x: x <= F.col(error))))
-    piece = F.slice("_limits", F.col("_coarse") * width + 1, F.lit(width))
+    limits = df.agg(F.percentile_approx(error, probabilities, 4 * ranges).alias("_all"))
+    # every width-th limit is picked once here, not again for each error
+    every = F.filter("_all", lambda x, i: i % width == width - 1)
+    named = blocks.withColumn("_limits", limits.select(F.struct("_all", every.alias("_every"))).scalar())
+    named = named.withColumn("_coarse", F.size(F.filter("_limits._every", lambda x: x <= F.col(error))))
+    piece = F.slice("_limits._all", F.col("_coarse") * width + 1, F.lit(width))
     fine = F.size(F.filter(piece, lambda x: x <= F.col(error)))
     return named.withColumn("_range", F.col("_coarse") * width + fine).drop("_limits", "_coarse")
 

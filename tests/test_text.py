@@ -163,6 +163,9 @@ def test_align_and_assign_keep_the_order_table(spark):
     order = spark.createDataFrame([("a", 0), ("b", 1)], "uid string, pos int")
     df = spark.createDataFrame([("b", 5), ("c", 6)], "uid string, v int")
     assert sorted(map(tuple, align(df, order).select("uid", "v").collect())) == [("a", None), ("b", 5)]
+    assert align(df, order.filter("uid = 'b'"), strict=True).select("uid", "v").collect() == [("b", 5)]
+    with pytest.raises(Exception, match="no row for uid a"):
+        align(df, order, strict=True).select("uid", "v").collect()
     template = spark.createDataFrame([("a", 1), ("b", 1)], "uid string, v int")
     assert sorted(map(tuple, assign(template, df, ["v"]).collect())) == [("a", 1), ("b", 5)]
 
