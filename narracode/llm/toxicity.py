@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from narracode.llm.words import WordRows, blocks
+from narracode.llm.words import WordRows, blocks, segments
 from narracode.session import write_table
 
 #: Longest run of characters, and the orders that both classes share.
@@ -40,10 +40,16 @@ THRESHOLD = 0.7
 STEEP = 4.0
 #: Different words of the texts that a task holds before it lets go of their runs.
 HELD_WORDS = 1_200_000
+#: Different words, and characters of them, whose runs are numbered at once.
+BLOCK_WORDS, PIECE_CHARS = 50_000, 1 << 19
+#: Bytes of texts that a task packs at once, and rows that are unpacked at once.
+PACKED_BYTES, PACKED_ROWS = 32 << 20, 1_000
+#: Different words whose scores a part holds.
+PART_WORDS = 1_000_000
 #: Parts up to which each gets a task of its own.
 SPREAD_PARTS = 4_096
 #: Characters of the texts whose runs and scores meet in one task, and the least number of such parts.
-PART_CHARS, MIN_PARTS = 32 << 20, 8
+PART_CHARS, MIN_PARTS = 64 << 20, 8
 
 _START, _END = "\x02", "\x03"
 _FEATURES = 2 + WORST
@@ -68,26 +74,91 @@ def longest_runs(word: str) -> list[str]:
     return [marked[max(0, i + 1 - ORDER) : i + 1] for i in range(1, len(marked))]
 
 
+def marked_pieces(words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Marked words in blocks: pieces, how many characters of each are context only, and the
+    number of its word. A very long word is cut into pieces that overlap by a run's context."""
+    for first in range(0, len(words), BLOCK_WORDS):
+        marked = [_START + w + _END for w in words[first : first + BLOCK_WORDS]]
+        if sum(map(len, marked)) <= 2 * PIECE_CHARS:
+            yield marked, np.ones(len(marked), np.int64), np.arange(first, first + len(marked))
+            continue
+        pieces, skips, owners, held = [], [], [], 0
+        for k, word in enumerate(marked, first):
+            for i in range(0, len(word), PIECE_CHARS):
+                pieces.append(word[max(0, i - ORDER + 1) : i + PIECE_CHARS])
+                skips.append(ORDER - 1 if i else 1)
+                owners.append(k)
+                held += len(pieces[-1])
+                if held >= PIECE_CHARS:
+                    yield pieces, np.array(skips), np.array(owners)
+                    pieces, skips, owners, held = [], [], [], 0
+        if pieces:
+            yield pieces, np.array(skips), np.array(owners)
+
+
+def distinct_runs(pieces: list[str], skips: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different longest runs of marked pieces, the number of the run that each predicted
+    character ends, and where the characters of each piece begin."""
+    joined = "".join(pieces)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(0x110000, bool)
+    seen[code] = True
+    number = np.cumsum(seen)
+    bits, rank = int(number[-1]).bit_length(), number[code]
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts = np.cumsum(lengths) - lengths
+    at = np.arange(len(code)) - np.repeat(starts, lengths)
+
+    def packed(back: range) -> np.ndarray:
+        key = np.zeros(len(code), np.int64)
+        for j in back:
+            before = np.where(at[j:] >= j, rank[: len(code) - j], 0)
+            key[j:] |= before << (bits * (j - back.start))
+        return key
+
+    half = ORDER // 2
+    low, high = packed(range(half)), packed(range(half, ORDER))
+    if bits * ORDER <= 63:
+        key = low | high << (bits * half)
+    else:  # large alphabets: halves are numbered before they are put together
+        (kinds, low), high = np.unique(low, return_inverse=True), np.unique(high, return_inverse=True)[1]
+        key = high * len(kinds) + low
+    places = np.flatnonzero(at >= np.repeat(skips, lengths))
+    key = key[places]
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    ends = places[order[new]]
+    begins = ends - np.minimum(at[ends], ORDER - 1)
+    runs = [joined[i:j] for i, j in zip(begins.tolist(), (ends + 1).tolist(), strict=True)]
+    predicted = lengths - skips
+    return runs, which, np.cumsum(predicted) - predicted
+
+
+def _counted(words: Counter[str], cls: int) -> Iterator[pa.RecordBatch]:
+    times = np.fromiter(words.values(), np.int64, len(words))
+    for pieces, skips, owners in marked_pieces(list(words)):
+        runs, which, begins = distinct_runs(pieces, skips)
+        each = np.repeat(times[owners], np.diff(np.r_[begins, len(which)]))
+        n = np.bincount(which, each, len(runs)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array([cls] * len(runs), pa.int32()), pa.array(n)], names=["run", "class", "n"])
+
+
 def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs per class, added up within a batch. Rows are text and class."""
+    """Runs per class, added up in blocks of the task's different words. Rows are text and class."""
+    words: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
     for batch in batches:
-        classes = batch.column(1).to_pylist()
-        texts = [(t or "").lower() for t in batch.column(0).to_pylist()]
-        for a, b in blocks([len(t) for t in texts]):
-            for cls in (0, 1):
-                words: Counter[str] = Counter()
-                for t, c in zip(texts[a:b], classes[a:b], strict=True):
-                    if c == cls:
-                        words.update(t.split())
-                runs: Counter[str] = Counter()
-                for w, n in words.items():
-                    for r in longest_runs(w):
-                        runs[r] += n
-                if runs:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(runs)), pa.array([cls] * len(runs), pa.int32()), pa.array(list(runs.values()), pa.int64())],
-                        names=["run", "class", "n"],
-                    )
+        for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for piece in segments(t or ""):
+                words[c].update(piece.lower().split())
+                if sum(map(len, words)) > HELD_WORDS:
+                    for cls in (0, 1):
+                        yield from _counted(words[cls], cls)
+                        words[cls].clear()
+    for cls in (0, 1):
+        yield from _counted(words[cls], cls)
 
 
 def fit_counts(rows: DataFrame) -> DataFrame:
@@ -144,9 +215,13 @@ def run_scores(runs: DataFrame, counts: DataFrame) -> DataFrame:
 
 def word_scores(words: list[str], scores: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     """Toxic less ordinary log-likelihood of each word, and its number of predicted characters."""
-    runs = [longest_runs(w.lower()) for w in words]
-    total = np.fromiter((sum(map(scores.__getitem__, r)) for r in runs), np.float64, len(words))
-    return total, np.fromiter(map(len, runs), np.float64, len(words))
+    small = [w.lower() for w in words]
+    total = np.zeros(len(words))
+    for pieces, skips, owners in marked_pieces(small):
+        runs, which, begins = distinct_runs(pieces, skips)
+        score = np.fromiter(map(scores.__getitem__, runs), np.float64, len(runs))
+        np.add.at(total, owners, np.add.reduceat(score[which], begins))
+    return total, np.fromiter(map(len, small), np.float64, len(words)) + 1
 
 
 # ---------------------------------------------------------------- texts
@@ -164,40 +239,98 @@ def text_features(score: np.ndarray, chars: np.ndarray) -> list[float]:
     return out.tolist()
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different longest runs of the texts of each part. Rows are id, text and part. A run comes
-    again after so many words that the task has to let go of those it holds."""
+def _runs(words: set[str]) -> list[str]:
+    found: set[str] = set()
+    for pieces, skips, _ in marked_pieces(list({w.lower() for w in words})):
+        found.update(distinct_runs(pieces, skips)[0])
+    return list(found)
+
+
+def _runs_of(batches: Iterator[tuple[int, list[str | None]]]) -> Iterator[pa.RecordBatch]:
+    """Different longest runs of texts by part. A run comes again after so many words that the
+    task has to let go of those it holds."""
     words: dict[int, set[str]] = {}
 
     def put():
         for part, found in words.items():
-            runs = list({r for w in found for r in longest_runs(w.lower())})
+            runs = _runs(found)
             for i in range(0, len(runs), 100_000):
                 some = runs[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array(some)], names=["part", "run"])
         words.clear()
 
+    for part, texts in batches:
+        mine = words.setdefault(part, set())
+        for t in texts:
+            for piece in segments(t or ""):
+                mine.update(piece.split())
+                if sum(map(len, words.values())) > HELD_WORDS:
+                    yield from put()
+                    mine = words.setdefault(part, set())
+    yield from put()
+
+
+def _asked_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different longest runs of the task's texts. Rows are text."""
+    yield from (b.select(["run"]) for b in _runs_of((0, b.column(0).to_pylist()) for b in batches))
+
+
+def _part_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different longest runs of the parts' texts. Rows are part and packed rows."""
+    yield from _runs_of((p, t) for b in batches for p, rows in zip(*map(pa.Array.to_pylist, b.columns), strict=True) for t in _texts(rows))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of id, text and part, as compressed Arrow streams of id and text, one for each part
+    and so many bytes."""
+    held: list[pa.RecordBatch] = []
+
+    def put():
+        table = pa.Table.from_batches(held).sort_by("part")
+        part = table.column("part").to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            sink = pa.BufferOutputStream()
+            rows = table.select(["doc_id", "text"]).slice(a, b - a)
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows, max_chunksize=PACKED_ROWS)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part[a]], pa.int32()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        held.clear()
+
     for batch in batches:
-        for t, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if t:
-                words.setdefault(part, set()).update(t.split())
-        if sum(map(len, words.values())) > HELD_WORDS:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) > PACKED_BYTES:
             yield from put()
-    yield from put()
+    if held:
+        yield from put()
+
+
+def _unpack(rows: bytes) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(rows) as stream:
+        yield from stream
+
+
+def _texts(rows: bytes) -> Iterator[list[str | None]]:
+    return (b.column(1).to_pylist() for b in _unpack(rows))
 
 
 def _score_part(docs: pa.Table, scores: pa.Table) -> pa.Table:
-    table = dict(zip(scores.column("run").to_pylist(), scores.column("score").to_pylist(), strict=True))
-    cache = WordRows(lambda words: word_scores(words, table))
-    out: list[list[float]] = []
-    for batch in docs.select(["text"]).to_batches(max_chunksize=1_000):
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        for a, b in blocks([len(t) for t in texts]):
-            cache.trim()
-            rows = [cache.rows(t) for t in texts[a:b]]
-            found, chars = cache.fill()
-            out += [text_features(found[r], chars[r]) for r in rows]
-    return pa.table({"doc_id": docs.column("doc_id"), "x": pa.array(out, pa.list_(pa.float64()))})
+    table: dict[str, float] = {}
+    for batch in scores.to_batches():
+        table.update(zip(batch.column("run").to_pylist(), batch.column("score").to_pylist(), strict=True))
+    cache = WordRows(lambda words: word_scores(words, table), PART_WORDS)
+    ids, out = [], []
+    for packed in docs.column("rows"):
+        for batch in _unpack(packed.as_py()):
+            ids.append(batch.column(0))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in blocks([len(t) for t in texts]):
+                cache.trim()
+                rows = [cache.rows(t) for t in texts[a:b]]
+                found, chars = cache.fill()
+                out += [text_features(found[r], chars[r]) for r in rows]
+    return pa.table({"doc_id": pa.chunked_array(ids), "x": pa.array(out, pa.list_(pa.float64()))})
 
 
 def part_names(spark: SparkSession, parts: int) -> list[int]:
@@ -220,11 +353,11 @@ def features(docs: DataFrame, counts: DataFrame) -> DataFrame:
     if parts <= SPREAD_PARTS:
         part = F.get(F.array(*[F.lit(p) for p in part_names(docs.sparkSession, parts)]), part)
     texts = texts.withColumn("part", part)
-    scores = run_scores(texts.withColumn("part", F.lit(0)).mapInArrow(_runs_of, "part int, run string").select("run"), counts)
-    dealt = texts.repartition(parts, "part")
-    met = dealt.mapInArrow(_runs_of, "part int, run string").join(scores, "run").select("part", "run", "score").repartition(parts, "part")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"
-    return dealt.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_score_part, schema)
+    scores = run_scores(texts.select("text").mapInArrow(_asked_runs, "run string"), counts)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    dealt = texts.mapInArrow(_pack, "part int, rows binary").repartition(parts, "part")
+    met = dealt.mapInArrow(_part_runs, "part int, run string").join(scores, "run").select("part", "run", "score").repartition(parts, "part")
+    return dealt.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_score_part, f"doc_id {kind}, x array<double>")
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:

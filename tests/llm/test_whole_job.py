@@ -126,6 +126,24 @@ def test_toxicity_scores_differ_on_few_labels(spark, sf):
     assert (np.c_[x, np.ones(2)] @ w)[1] > (np.c_[x, np.ones(2)] @ w)[0]
 
 
+def test_runs_of_large_alphabets_and_cut_words(monkeypatch):
+    """Runs by packed numbers are those of the plain definition, also where a word is cut."""
+    words = ["ab", "", "a", "aaaaaaaaaaaa", "中文" * 9, "".join(map(chr, range(0x4E00, 0x5E00))), "𝒳é́" * 700, "ab"]
+    want = [r for w in words for r in toxicity.longest_runs(w)]
+    table = {r: float(hash(r) % 97) for r in set(want)}
+    scores = [sum(table[r] for r in toxicity.longest_runs(w)) for w in words]
+    for size in (1 << 19, 7):
+        monkeypatch.setattr(toxicity, "PIECE_CHARS", size)
+        got = []
+        for pieces, skips, _ in toxicity.marked_pieces(words):
+            runs, which, begins = toxicity.distinct_runs(pieces, skips)
+            assert len(set(runs)) == len(runs) and (np.diff(begins) > 0).all()
+            got += [runs[i] for i in which]
+        assert got == want
+        total, chars = toxicity.word_scores(words, table)
+        assert total.tolist() == scores and chars.tolist() == [len(w) + 1 for w in words]
+
+
 def test_every_part_has_a_task_of_its_own(spark):
     names = toxicity.part_names(spark, 25)
     rows = spark.createDataFrame([(n,) for n in names], "part int").repartition(25, "part")
