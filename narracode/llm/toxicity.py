@@ -111,7 +111,7 @@ def distinct_runs(pieces: list[str], skips: np.ndarray) -> tuple[list[str], np.n
 
     def packed(back: range) -> np.ndarray:
         key = np.zeros(len(code), np.int64)
-        for j in back:
+        for j in range(back.start, min(back.stop, len(code))):
             before = np.where(at[j:] >= j, rank[: len(code) - j], 0)
             key[j:] |= before << (bits * (j - back.start))
         return key
