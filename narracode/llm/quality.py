@@ -21,6 +21,10 @@ WINDOW_HASH = "xxhash64(x, get(_w, i + 1), get(_w, i + 2))"
 MAX_FAILURE_RATE = 0.5
 #: Limits of the prior's strength, in documents.
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 10_000.0
+#: Rejected hosts, and bytes of their names, that are broadcast if a count shows no more.
+BROADCAST_HOSTS, BROADCAST_BYTES = 500_000, 32 << 20
+#: Pieces into which the rows of each host are dealt where the rejected hosts are too many.
+PIECES = 64
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RULES = ["too_short", "repetitive", "symbols", "odd_words", "repeated_lines"]
@@ -125,14 +129,28 @@ def judge(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
 def keep_good(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    Rows are written once beside their counts; hosts are summed from the counts alone.
+    Rows are written once beside their counts; hosts are summed from the counts alone. The
+    rejected hosts are counted in their written table: up to ``BROADCAST_HOSTS`` are broadcast
+    and no text moves; more are joined with every host dealt into ``PIECES``, so a host with
+    a third of all rows is never one task.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(row, F.col("source").alias("_host"), F.col("text").alias("_text"))
     counted = write_table(text_counts(rows).drop("_text"), "quality")
     bad = host_verdicts(counted, max_rate).filter("_rejected").select(F.col("_host").alias("_judged"))
-    passed = counted.filter(~base_failed())
-    return passed.join(bad, F.col("_host") == F.col("_judged"), "left_anti").select("_row.*")
+    bad = write_table(bad, "rejected_hosts")
+    return _without_hosts(counted.filter(~base_failed()), bad).select("_row.*")
+
+
+def _without_hosts(rows: DataFrame, bad: DataFrame, most: int = BROADCAST_HOSTS) -> DataFrame:
+    """Rows whose ``_host`` is not in ``_judged`` of the written table ``bad``; no host is no match."""
+    same = F.col("_host") == F.col("_judged")
+    hosts, size = bad.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_judged")), F.lit(0))).first()
+    if hosts <= most and size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(bad), same, "left_anti")
+    rows = rows.withColumn("_piece", F.pmod(F.monotonically_increasing_id(), F.lit(PIECES)))
+    bad = bad.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    return rows.join(bad, same & (F.col("_piece") == F.col("_of")), "left_anti").drop("_piece")
 
 
 #: The same counts and verdicts in SQL.

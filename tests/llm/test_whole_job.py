@@ -186,3 +186,13 @@ def test_a_third_of_the_vectors_in_one_dense_group(spark):
     near = unit @ unit.T >= 0.95
     assert got.n_links.tolist() == (near.sum(axis=1) - 1).tolist()
     assert (got.component_id.to_numpy()[::3] == 0).all() and got.kept.sum() == 4_001
+
+
+def test_rejected_hosts_leave_by_broadcast_and_in_pieces(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"h{i}") for i in range(600)], "doc_id long, _host string")
+    bad = spark.createDataFrame([("hot",), ("h6",), ("h12",), ("elsewhere",)], "_judged string")
+    want = {i for i in range(600) if i % 3 == 0 and i not in (6, 12)}
+    for most in (10, 0):
+        left = quality._without_hosts(rows, bad, most)
+        assert left.columns == rows.columns
+        assert sorted(r.doc_id for r in left.collect()) == sorted(want)
