@@ -228,7 +228,7 @@ def word_vocab(spark, sf):
     docs = t.docs(spark, sf)
     n = docs.select(F.count(F.lit(1)).alias("n"))
     vocab = fit_vocab(word_terms(docs, 1, 1), n, min_df=5, max_df=0.6, max_features=500)
-    return write_table(vocab, "word_vocab")
+    return F.broadcast(write_table(vocab, "word_vocab"))  # 500 terms at most
 
 
 @query(
