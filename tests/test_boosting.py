@@ -106,3 +106,20 @@ def test_saved_model_and_odd_rows(spark, tmp_path):
     assert none.rounds == []
     flat = M.fit(M.sparse_boosted("binary", trees=3, min_child=50), df)
     assert flat.rounds == [] and abs(M.scores(flat, df, "binary").first().score - y[np.arange(80) != 5].mean()) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["binary", "categorical"])
+def test_kept_scores_change_no_tree(spark, monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    x = rng.random((120, 4)) * (rng.random((120, 4)) < 0.7)
+    y = (x[:, 0] + x[:, 1] > 0.8).astype(int) + (kind != "binary") * (x[:, 2] > 0.5)
+    rows = spark.createDataFrame([(str(i), Vectors.dense(v), int(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], ["uid", "features", "y"])
+    rows = rows.coalesce(1).persist()
+    settings = B.SparseBoosted(kind, trees=4, leaves=3)
+    sent, look = [], B._look
+    monkeypatch.setattr(B, "_look", lambda blocks, model, done, *rest: sent.append(len(model.rounds) - done) or look(blocks, model, done, *rest))
+    plain = B.fit(settings, rows).as_dict()
+    monkeypatch.setattr(B, "KEPT_ROUNDS", 1)
+    del sent[:]
+    assert B.fit(settings, rows).as_dict() == plain and len(plain["rounds"]) == 4
+    assert max(sent) == 0  # no earlier tree is followed again
