@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narracode.operators.features import english_stop_words
+from narracode.operators.features import english_stop_words, sent_if_small
 from narracode.operators.labels import align, binarize, corpus, semi, to_long
 from narracode.operators.metrics import f1_by_label, random_baseline
 from narracode.operators.models import (
@@ -21,6 +21,7 @@ from narracode.operators.models import (
     sparse_boosted,
     sparse_linear,
 )
+from narracode.session import write_table
 from narracode.sources import readers, writers
 from narracode.spec import LabelSpec
 
@@ -59,17 +60,22 @@ def train_and_predict(
 ) -> tuple[TextFeatures, FitResult]:
     """Fit vocabularies on the training corpus, featurise both sides, run every label.
 
-    ``external`` holds another model's outputs per label for both sides.
+    ``external`` holds another model's outputs per label for both sides. Labels and outputs are narrow
+    and go to the features if they are few enough.
     """
+
+    def narrow(rows: DataFrame) -> DataFrame:
+        return sent_if_small(write_table(rows, "narrow"))
+
     train_docs, test_docs = corpus(train_records), corpus(test_records)
     features = TextFeatures.fit(train_docs, settings.options)
     x_train, x_test = features.transform(train_docs), features.transform(test_docs)
     if external is not None:
-        for_train = align(semi(external, train_docs.select("uid")), train_docs.select("uid"))
-        for_test = align(semi(external, test_docs.select("uid")), test_docs.select("uid"))
+        for_train = narrow(align(semi(external, train_docs.select("uid")), train_docs.select("uid")))
+        for_test = narrow(align(semi(external, test_docs.select("uid")), test_docs.select("uid")))
         x_train = append_scores(x_train, for_train, spec.columns)
         x_test = append_scores(x_test, for_test, spec.columns)
-    train = x_train.join(train_labels, "uid")
+    train = x_train.join(narrow(train_labels), "uid")
     result = fit_predict_all(
         train, x_test, spec, settings.make_estimator, settings.folds, settings.seed, settings.chain_from
     )
